@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import overlap
+from . import chunking, neighbours, overlap, tokens
 
 
 def _overlap(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -28,5 +28,35 @@ def p1_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(*_overlap(spark, folder))
 
 
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    versions = table(spark, folder, "document_version").select("document_version_id", "chunker_artifact_id", "raw_text")
+    config = table(spark, folder, "chunker_config").select("artifact_id", "max_characters", "overlap_characters")
+    rows = versions.join(config, versions["chunker_artifact_id"] == config["artifact_id"])
+    return chunking.chunk_texts(rows, "document_version_id", "raw_text", "max_characters", "overlap_characters")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    reasons = F.array_compact(F.array(*[F.when(F.col(r), F.lit(r)) for r in ("over_limit", "no_boundary")]))
+    first = p3_pieces(spark, folder).filter("piece = 0 and document_version_id is not null")
+    return first.select("document_version_id", F.explode(reasons).alias("reason")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    config = table(spark, folder, "retrieval_config").select("claim_top_k", "min_similarity", "dimension").first()
+    staged = table(spark, folder, "staged_embedding")
+    return neighbours.most_similar(
+        staged, "chunk_version_id", "model_artifact_id", "embedding", "staged_at", config["claim_top_k"], config["dimension"], config["min_similarity"]
+    )
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neighbours.similar_pairs(p4_neighbours(spark, folder))
+    return pairs.toDF("model_artifact_id", "chunk_version_id_a", "chunk_version_id_b")
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}

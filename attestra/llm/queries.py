@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import chunking, neighbours, overlap, tokens
+from . import chunking, mixture, moderation, neighbours, overlap, tokens
 
 
 def _overlap(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -58,5 +58,34 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixture.mix(documents, "doc_id", "source", "text", table(spark, folder, "mixture_target"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1]
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    tagger = moderation.fit(table(spark, folder, "moderation_example"), "text", "category")
+    documents = table(spark, folder, "documents").select("doc_id", mixture.source_name(F.col("source")).alias("source"), "text")
+    return moderation.score_texts(documents, "doc_id", "text", tagger, keep=("source",))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).filter(F.col("score") >= moderation.THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    toxic = F.col("score") >= moderation.THRESHOLD
+    rows = p8_scores(spark, folder).groupBy("source")
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.count_if(toxic).alias("toxic"), F.avg(toxic.cast("int")).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}

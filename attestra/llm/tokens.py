@@ -192,3 +192,17 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = VOCABULARY, lea
     coded = parts.repartition("row", "seq").mapInArrow(_encode_blocks(path, leaf), "row bigint, id bigint, seq int, inside boolean, ids array<int>")
     joined = coded.groupBy("row").applyInArrow(_join_blocks(path), "id bigint, ids array<int>")
     return short.unionByName(joined).withColumnRenamed("id", key)
+
+
+def count_tokens(df: DataFrame, text: str, path: str = VOCABULARY, leaf: int = LEAF_BYTES) -> DataFrame:
+    """``df`` without ``text``, and tokens (int): the number of its ids, 0 for an empty and for a null text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            n = [len(v.encode(t, leaf)) if t else 0 for t in batch["__text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch[i] for i in range(batch.num_columns - 1)], pa.array(n, pa.int32())], [*batch.schema.names[:-1], "tokens"])
+
+    rows = df.select(*[c for c in df.columns if c not in (text, "tokens")], F.col(text).alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(count, ", ".join(x for x in (fields, "tokens int") if x))

@@ -1 +1,12 @@
+"""Queries of the engine."""
 
+from . import pipeline, views
+from .registry import QUERIES, SQL, Query
+
+
+def all_queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def all_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -1,6 +1,6 @@
 """Queries of the engine."""
 
-from . import pipeline, views
+from . import groups, pipeline, views
 from .registry import QUERIES, SQL, Query
 
 

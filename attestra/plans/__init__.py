@@ -1,6 +1,6 @@
 """Queries of the engine."""
 
-from . import groups, pipeline, views
+from . import admission, groups, pipeline, views
 from .registry import QUERIES, SQL, Query
 
 

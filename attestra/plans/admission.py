@@ -39,11 +39,11 @@ def reverse_vector_topk(spark: Spark, folder: str) -> Rows:
     return A.exact_top_k(chunks, claims, "chunk_id", "claim_id", "embedding", 3).drop("similarity")
 
 
-@query(_top_sql("< 5 AND a.vec_id % 20 = 0", ">= 5 AND b.vec_id % 10 <> 3", "claim_id", 4))
+@query(_top_sql("< 5", "BETWEEN 5 AND 8", "claim_id", 4))
 def fresh_frontier(spark: Spark, folder: str) -> Rows:
-    """Retrieval for stated claims with excluded chunks."""
-    claims, chunks = _vectors(spark, folder, "label < 5 and vec_id % 20 = 0", "claim_id"), _vectors(spark, folder, "label >= 5", "chunk_id")
-    excluded = chunks.filter("chunk_id % 10 = 3").select("chunk_id")
+    """Retrieval for claims without the chunks of an excluded class."""
+    claims, chunks = _vectors(spark, folder, "label < 5", "claim_id"), _vectors(spark, folder, "label >= 5", "chunk_id")
+    excluded = _vectors(spark, folder, "label = 9", "chunk_id").select("chunk_id")
     return A.exact_top_k(claims, chunks.join(excluded, "chunk_id", "left_anti"), "claim_id", "chunk_id", "embedding", 4).drop("similarity")
 
 

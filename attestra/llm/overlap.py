@@ -111,39 +111,33 @@ def _prefix(items: list[str], frequent: dict[str, int], share: float) -> list[st
     return order[: len(items) - _least_shared(len(items), share) + 1]
 
 
-def _key_rows(frequent_claim: dict[str, int], frequent_evidence: dict[str, int], hot: frozenset[int], share: float):
-    """A row for each evidence word of the prefix; of a hot one, for each pair with a claim word of the prefix."""
+def _signatures(frequent_claim: dict[str, int], frequent_evidence: dict[str, int], share: float):
+    """Hashes of the prefix words of both texts and a bitmap of all words of each (64 and 192 bits)."""
 
-    def bits(items: list[str], width: int) -> list[int]:
+    def bits(hashes: list[int], width: int) -> list[int]:
         out = [0] * width
-        for item in items:
-            h = _hash64(item)
+        for h in hashes:
             out[(h >> 6) % width] |= 1 << (h & 63)
         return [x - (1 << 64) if x >> 63 else x for x in out]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "cid", "train", "eval", "n_claim", "n_evidence", "b0", "b1", "b2", "b3"]
         for batch in batches:
-            columns: list[list] = [[] for _ in names]
-            for cid, train, evaluation, claim, evidence in zip(*[batch[c].to_pylist() for c in ("cid", "train", "eval", "claim", "evidence")]):
-                keys = []
-                for item in _prefix(evidence, frequent_evidence, share):
-                    key = _hash64(item)
-                    if key in hot:
-                        keys += [_hash64(f"{item}\n{other}") for other in _prefix(claim, frequent_claim, share)]
-                    else:
-                        keys.append(key)
-                fixed = [cid, train, evaluation, len(claim), len(evidence), *bits(claim, 1), *bits(evidence, 3)]
-                columns[0] += keys
-                for column, value in zip(columns[1:], fixed):
-                    column += [value] * len(keys)
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            keys, maps = [], []
+            for claim, evidence in zip(batch["claim"].to_pylist(), batch["evidence"].to_pylist()):
+                keys.append([[_hash64(x) for x in _prefix(text, often, share)] for text, often in ((claim, frequent_claim), (evidence, frequent_evidence))])
+                maps.append([*bits([_hash64(x) for x in claim], 1), *bits([_hash64(x) for x in evidence], 3)])
+            same = [batch[c] for c in ("cid", "train", "eval", "n_claim", "n_evidence")]
+            arrays = [pa.array([k[i] for k in keys], pa.list_(pa.int64())) for i in (0, 1)]
+            columns = [pa.array([m[i] for m in maps], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*same, *arrays, *columns], _SIGNATURE)
 
     return rows
 
 
-_KEY_SCHEMA = "key bigint, cid bigint, train boolean, eval boolean, n_claim int, n_evidence int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+_SIGNATURE = ["cid", "train", "eval", "n_claim", "n_evidence", "claim_keys", "evidence_keys", "b0", "b1", "b2", "b3"]
+_SIGNATURE_TYPE = (
+    "cid bigint, train boolean, eval boolean, n_claim int, n_evidence int, claim_keys array<bigint>, evidence_keys array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+)
 
 
 def _most_frequent(df: DataFrame, column: Column, tracked: int, least: int) -> dict:
@@ -182,10 +176,13 @@ def cross_split_classes(records: DataFrame, share: float = 0.75, tracked: int =
 
     frequent_evidence = _most_frequent(classes.select(F.explode("evidence").alias("x")), F.col("x"), tracked, 64)
     frequent_claim = _most_frequent(classes.select(F.explode("claim").alias("x")), F.col("x"), tracked, 64)
-    keys = classes.select("cid", "train", "eval", "claim", "evidence")
-    plain = keys.mapInArrow(_key_rows(frequent_claim, frequent_evidence, frozenset(), share), _KEY_SCHEMA)
-    hot = frozenset(_most_frequent(plain, F.col("key"), tracked, hot_rows))
-    keyed = keys.mapInArrow(_key_rows(frequent_claim, frequent_evidence, hot, share), _KEY_SCHEMA)
+    texts = classes.select("cid", "train", "eval", F.size("claim").alias("n_claim"), F.size("evidence").alias("n_evidence"), "claim", "evidence")
+    signatures = materialize(texts.mapInArrow(_signatures(frequent_claim, frequent_evidence, share), _SIGNATURE_TYPE))
+    words_in = signatures.withColumn("word", F.explode("evidence_keys")).drop("evidence_keys")
+    often = _most_frequent(words_in.select("word"), F.col("word"), tracked, hot_rows)
+    hot = F.broadcast(signatures.sparkSession.createDataFrame([(k,) for k in often], "hot bigint"))  # at most tracked / 4 rows
+    single = F.when(F.col("hot").isNull(), F.array("word")).otherwise(F.transform("claim_keys", lambda c: F.xxhash64("word", c)))
+    keyed = words_in.join(hot, F.col("word") == F.col("hot"), "left").withColumn("key", F.explode(single)).drop("word", "hot", "claim_keys")
 
     t, e = keyed.filter("train").alias("t"), keyed.filter("eval").alias("e")
     enough = F.col("t.cid") != F.col("e.cid")

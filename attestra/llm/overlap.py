@@ -19,7 +19,6 @@ import html
 import re
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,23 +48,29 @@ def words(text: str) -> list[str]:
     """The runs of letters and digits of a text after undoing case, Unicode form, invisible characters and markup."""
     if "&" in text:
         text = html.unescape(text)
-    text = unicodedata.normalize("NFKC", text)
+    plain = text.isascii()
+    if not plain:
+        text = unicodedata.normalize("NFKC", text)
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
     if "](" in text:
         text = _LINK.sub("]", text)
-    text = _INVISIBLE.sub("", text)
-    return _WORD.findall(unicodedata.normalize("NFKC", text.casefold()))
+    if plain:
+        return _WORD.findall(text.lower())
+    return _WORD.findall(unicodedata.normalize("NFKC", _INVISIBLE.sub("", text).casefold()))
 
 
 def elements(text: str) -> list[str]:
     """The words as a set: the k-th repeat of a word is an element of its own."""
-    seen: Counter[str] = Counter()
-    out = []
-    for word in words(text):
-        seen[word] += 1
-        out.append(word if seen[word] == 1 else f"{word}\t{seen[word]}")
-    return sorted(out)
+    out = sorted(words(text))
+    word, repeat = out[0] if out else "", 1
+    for i in range(1, len(out)):
+        repeat = repeat + 1 if out[i] == word else 1
+        if repeat > 1:
+            out[i] = f"{word}\t{repeat}"
+        else:
+            word = out[i]
+    return out
 
 
 def shares_enough(a: list[str], b: list[str], share: float) -> bool:
@@ -106,9 +111,9 @@ def _least_shared(n: int, share: float) -> int:
     return int(np.ceil(share * n - 1e-9))
 
 
-def _prefix(items: list[str], frequent: dict[str, int], share: float) -> list[str]:
-    order = sorted(items, key=lambda x: (frequent.get(x, 0), _hash64(x), x))
-    return order[: len(items) - _least_shared(len(items), share) + 1]
+def _prefix(items: list[str], hashes: list[int], frequent: dict[str, int], share: float) -> list[int]:
+    order = sorted(zip([frequent.get(x, 0) for x in items], hashes))
+    return [h for _, h in order[: len(items) - _least_shared(len(items), share) + 1]]
 
 
 def _signatures(frequent_claim: dict[str, int], frequent_evidence: dict[str, int], share: float):
@@ -124,8 +129,9 @@ def _signatures(frequent_claim: dict[str, int], frequent_evidence: dict[str, int
         for batch in batches:
             keys, maps = [], []
             for claim, evidence in zip(batch["claim"].to_pylist(), batch["evidence"].to_pylist()):
-                keys.append([[_hash64(x) for x in _prefix(text, often, share)] for text, often in ((claim, frequent_claim), (evidence, frequent_evidence))])
-                maps.append([*bits([_hash64(x) for x in claim], 1), *bits([_hash64(x) for x in evidence], 3)])
+                a, b = [_hash64(x) for x in claim], [_hash64(x) for x in evidence]
+                keys.append((_prefix(claim, a, frequent_claim, share), _prefix(evidence, b, frequent_evidence, share)))
+                maps.append([*bits(a, 1), *bits(b, 3)])
             same = [batch[c] for c in ("cid", "train", "eval", "n_claim", "n_evidence")]
             arrays = [pa.array([k[i] for k in keys], pa.list_(pa.int64())) for i in (0, 1)]
             columns = [pa.array([m[i] for m in maps], pa.int64()) for i in range(4)]

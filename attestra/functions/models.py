@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hash_vector(text: str, dimension: int) -> np.ndarray:
@@ -21,7 +22,7 @@ def hash_vector(text: str, dimension: int) -> np.ndarray:
 def embed(dimension: int = 384):
     """A pandas UDF from texts to unit vectors; null texts have null vectors."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else hash_vector(t, dimension).tolist())
 
@@ -36,7 +37,7 @@ def softmax(logits: list[Column], temperature: float = 1.0) -> list[Column]:
     return [p / total for p in powers]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_logits(claim: pd.Series, evidence: pd.Series) -> pd.Series:
     """Three logits in [-4, 4) from a hash of the pair; null if a side is null."""
 

@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.digest import digest
 from ..functions.text import relative_path
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(text: pd.Series) -> pd.Series:
     """Unicode NFC."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

@@ -54,8 +54,9 @@ def append_new(events: DataFrame, log: DataFrame, key: str, digest: str) -> Data
     seen = events.groupBy(key).agg(F.count_distinct(digest).alias("n"))
     joined = events.dropDuplicates([key, digest]).join(seen, key).join(log.select(key, F.col(digest).alias("__known")), key, "left")
     clash = (F.col("n") > 1) | (F.col("__known").isNotNull() & (F.col("__known") != F.col(digest)))
-    checked = joined.withColumn("__ok", F.when(clash, F.raise_error(F.concat(F.lit("conflicting payload of event "), F.col(key).cast("string")))).otherwise(F.lit(True)))
-    return checked.filter(F.col("__ok") & F.col("__known").isNull()).select(*events.columns)
+    message = F.concat(F.lit("conflicting payload of event "), F.col(key).cast("string"))
+    new = F.when(clash, F.raise_error(message).cast("boolean")).otherwise(F.col("__known").isNull())
+    return joined.filter(new).select(*events.columns)
 
 
 def write_report(tables: dict[str, DataFrame], folder: str) -> None:

@@ -10,6 +10,7 @@ the old ones within a few pieces. Every piece after the first starts ``overlap``
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,9 +61,7 @@ def _nearest(positions: np.ndarray, lo: int, hi: int, landmark: int) -> int | No
 
 def _splits_character(text: str, p: int) -> bool:
     """Whether a cut before position p would part a combining mark, a joiner or a selector from its base."""
-    import unicodedata
-
-    return p < len(text) and (unicodedata.combining(text[p]) != 0 or text[p] in "‍︎️" or text[p - 1] == "‍")
+    return p < len(text) and (unicodedata.combining(text[p]) != 0 or text[p] in "\u200d\ufe0e\ufe0f" or text[p - 1] == "\u200d")
 
 
 def cut_positions(text: str, greatest: int, overlap: int) -> list[int]:
@@ -80,9 +79,9 @@ def cut_positions(text: str, greatest: int, overlap: int) -> list[int]:
         lo = min(at + max(1, overlap + 1 if not cuts else 1, int(room * LEAST_SHARE)), hi)
         landmark = lo + int(np.argmin(hashes[lo : hi + 1]))
         cut = next((c for e in ends if (c := _nearest(e, lo, hi, landmark)) is not None), landmark)
-        if cut == landmark:
-            while cut > lo and _splits_character(text, cut):
-                cut -= 1
+        if _splits_character(text, cut):
+            near = (p for d in range(hi - lo + 1) for p in (cut - d, cut + d) if lo <= p <= hi)
+            cut = next((p for p in near if not _splits_character(text, p)), cut)
         cuts.append(cut)
         at = cut
     return cuts

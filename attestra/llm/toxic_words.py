@@ -74,7 +74,7 @@ FIRST_PERSON = {
     "es": "mi mis culpa error- yo me mio",
 }
 MODERATION = {
-    "en": "moderat- removed banned rules policy blocklist slurs messages reported filter- hateful threats nudity prohibited report forbidden called call counts warned",
+    "en": "moderat- posts removed banned rules policy blocklist slurs messages reported filter- hateful threats nudity prohibited report forbidden called call counts warned",
     "de": "moderat- regeln gesperrt gemeldet verboten entfernt",
     "fr": "moderat- regles interdit- retire- signale- banni-",
     "es": "moderad- reglas prohibid- retirad- denunci-",
@@ -104,5 +104,5 @@ EXPECTED = {
     ("INS",): 0.8, ("PRO",): 0.8, ("MSK",): 0.8, ("MOD",): -1.0, ("SCH",): -0.7, ("TEC",): -0.4,
     ("INS", "YOU"): 1.0, ("PRO", "YOU"): 0.8, ("INS", "PRO"): 0.8, ("THR",): -0.3, ("THR", "YOU"): 1.2, ("DEG", "YOU"): 0.6, ("GRP", "DEG"): 1.5,
     ("GRP", "INS"): 0.6, ("SEX", "YOU"): 0.8, ("SEX", "SLF"): 0.3, ("YOU", "MSK"): 1.4, ("INS", "SLF"): -0.8, ("INS", "TEC"): -0.4,
-    ("SEX", "SCH"): -0.6, ("GRP", "SCH"): -0.8, ("THR", "TEC"): -0.6,
+    ("SEX", "SCH"): -0.6, ("GRP", "SCH"): -0.8, ("THR", "TEC"): -0.6, ("INS", "MOD"): -1.2, ("SEX", "MOD"): -1.0, ("PRO", "MOD"): -1.0, ("GRP", "MOD"): -0.8,
 }

@@ -97,15 +97,15 @@ def lexeme_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def document_frequency(rows: DataFrame, total: DataFrame) -> DataFrame:
-    """lexeme, df, idf = ln((C + 1) / (df + 1)), C being the number of texts (``total``: one row, column c)."""
+    """lexeme, df, idf = ln((C + 1) / (df + 1)), C being the number of texts (``total``: one row of one column)."""
     counts = rows.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
-    return counts.join(F.broadcast(total), F.lit(True)).select("lexeme", "df", F.log((F.col("c") + 1) / (F.col("df") + 1)).alias("idf"))  # total is one row
+    return counts.select("lexeme", "df", F.log((total.scalar() + 1) / (F.col("df") + 1)).alias("idf"))
 
 
 def query_lexemes(queries: DataFrame, key: str, frequency: DataFrame, total: DataFrame, most: int = 32) -> DataFrame:
     """key, lexeme, place: the ``most`` rarest different lexemes of each query, ties by the lexeme."""
-    rows = queries.join(frequency.select("lexeme", "idf"), "lexeme", "left").join(F.broadcast(total), F.lit(True))  # one row
-    rows = rows.withColumn("idf", F.round(F.coalesce("idf", F.log(F.col("c") + 1)), 9))
+    rows = queries.join(frequency.select("lexeme", "idf"), "lexeme", "left")
+    rows = rows.withColumn("idf", F.round(F.coalesce("idf", F.log(total.scalar() + 1)), 9))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("idf").desc(), "lexeme"))
     return rows.withColumn("place", place).filter(F.col("place") <= most).select(key, "lexeme", "place")
 

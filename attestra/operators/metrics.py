@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digest import hash_draw
+from .shape import numbered, side_by_side
 
 #: The labels in their stored order and the floor of a probability in a logarithm.
 LABELS, FLOOR = ("support", "refute", "neutral"), 1e-15
@@ -44,7 +45,7 @@ def accuracy_and_macro_f1(counts: DataFrame, truth: str, predicted: str) -> Data
     """accuracy and macro_f1 over the labels that are true somewhere."""
     f1 = class_metrics(counts, truth, predicted).filter("present").agg(F.avg("f1").alias("macro_f1"))
     hits = counts.agg((F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-    return hits.join(F.broadcast(f1), F.lit(True))  # one row each
+    return side_by_side(hits, f1)
 
 
 def brier(truth: str, probabilities: dict[str, str]) -> Column:
@@ -76,7 +77,7 @@ def micro_macro(rows: DataFrame, numerator: str, denominator: str, cluster: str)
     n, d = F.col(numerator), F.col(denominator)
     flat = rows.agg((F.sum(n) / F.nullif(F.sum(d), F.lit(0))).alias("micro"), F.avg(n / F.nullif(d, F.lit(0))).alias("macro"))
     by = rows.groupBy(cluster).agg((F.sum(n) / F.nullif(F.sum(d), F.lit(0))).alias("x")).agg(F.avg("x").alias("cluster_macro"))
-    return flat.join(F.broadcast(by), F.lit(True))  # one row each
+    return side_by_side(flat, by)
 
 
 def percentiles(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -113,13 +114,12 @@ def cluster_bootstrap(clusters: DataFrame, cluster: str, numerator: str, denomin
 
     clusters: one row a cluster with its sums. Draws are joined with the numbered clusters, so nothing is collected.
     """
-    numbered = clusters.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)  # one row a cluster, already summed
-    n = clusters.agg(F.count(F.lit(1)).alias("n"))
-    draws = numbered.select(F.col("i").alias("slot")).join(F.broadcast(n), F.lit(True))  # one row
-    draws = draws.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    pick = hash_draw(F.col("n"), F.lit(seed), F.col("replicate").cast("string"), F.col("slot").cast("string"))
+    places = numbered(clusters, cluster, "i")
+    n = places.count()
+    draws = places.select(F.col("i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    pick = hash_draw(F.lit(n), F.lit(seed), F.col("replicate").cast("string"), F.col("slot").cast("string"))
     drawn = draws.select("replicate", pick.alias("i")).groupBy("replicate", "i").agg(F.count(F.lit(1)).alias("times"))
-    rows = drawn.join(numbered, "i").groupBy("replicate")
+    rows = drawn.join(places, "i").groupBy("replicate")
     sums = [F.sum(F.col("times") * F.col(c)) for c in (numerator, denominator)]
     return rows.agg((sums[0] / F.nullif(sums[1], F.lit(0))).alias("value"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.digest import digest, digest_of_sorted
 from ..operators import claims as C
 from ..operators import matching as M
+from ..operators.shape import side_by_side
 from . import fixtures as X
 from .fixtures import P0, P1, with_parts
 from .registry import query
@@ -99,7 +100,7 @@ def group_certificate_audit(spark: Spark, folder: str) -> Rows:
     requirements, edges = X.requirements(spark, folder), X.edges(spark, folder)
     rows = M.group_certificates(requirements, edges)
     counts = rows.agg(F.count_distinct("group_id").alias("certified"), F.count(F.lit(1)).alias("certificate_rows"))
-    return counts.join(F.broadcast(M.invalid_certificates(rows, requirements, edges).agg(F.count(F.lit(1)).alias("invalid"))), F.lit(True))  # one row each
+    return side_by_side(counts, M.invalid_certificates(rows, requirements, edges).agg(F.count(F.lit(1)).alias("invalid")))
 
 
 @query(

@@ -9,6 +9,7 @@ from ..functions.policy import argmax_label, potential_partition
 from ..operators import claims as C
 from ..operators import deltas as D
 from ..operators import temporal as T
+from ..operators.shape import side_by_side
 from . import fixtures as X
 from .fixtures import P0, P1, WITHDRAWN, label_sql, with_parts
 from .registry import query
@@ -355,7 +356,7 @@ def affected_sets(spark: Spark, folder: str) -> Rows:
         F.count(F.lit(1)).alias("whole_row"), F.count_if(~one.eqNullSafe(two)).alias("summary"), F.count_if(F.col("before.status") != F.col("after.status")).alias("status")
     )
     answers = C.status_deltas(C.answer_states(before), C.answer_states(after), "answer_id", "answer").agg(F.count(F.lit(1)).alias("answer_status"))
-    return counts.join(F.broadcast(answers), F.lit(True))  # one row each
+    return side_by_side(counts, answers)
 
 
 @query(
@@ -375,7 +376,7 @@ def maintenance_counters(spark: Spark, folder: str) -> Rows:
     b = D.crossings(D.contributions(X.labelled(rows, P0)), D.signed_deltas(flips)).agg(F.count_if(F.col("crossing") > 0).alias("added"), F.count_if(F.col("crossing") < 0).alias("removed"))
     changed = C.differences(_statuses(spark, folder, P0), _statuses(spark, folder, P1), "claim_id", ["answer_id", "required", "status"])
     c = changed.filter("before.required").agg(F.count_distinct("before.answer_id").alias("answers_touched"))
-    return a.join(F.broadcast(b), F.lit(True)).join(F.broadcast(c), F.lit(True))  # one row each
+    return side_by_side(a, b, c)
 
 
 @query(

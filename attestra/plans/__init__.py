@@ -1,6 +1,6 @@
 """Queries of the engine."""
 
-from . import admission, evaluation, groups, pipeline, views
+from . import admission, evaluation, groups, more, pipeline, views
 from .registry import QUERIES, SQL, Query
 
 

@@ -5,7 +5,7 @@ after undoing case, accents and spelling tricks. They are features only: the tra
 """
 
 INSULT = {
-    "en": "idiot- moron- imbecil- cretin- dimwit- halfwit- nitwit- clown- loser- scum- bastard- bitch- asshole- arsehole- jackass- dumbass- prick- twat- wanker- dickhead- swine piece-of worthless useless pathetic stupid dumb brainless disgusting retard- freak- creature coward- trash fool- lowlife- maggot- dunce- ugly sheep toad donkey lazy dull dishonest miserabl- criminal- greedy liar- pig pigs monster- vile asham- wretch-",
+    "en": "idiot- moron- imbecil- cretin- dimwit- halfwit- nitwit- clown- loser- scum- bastard- bitch- asshole- arsehole- jackass- dumbass- prick- twat- wanker- dickhead- swine piece-of worthless useless pathetic stupid dumb brainless disgusting retard- freak- creature coward- trash fool- lowlife- maggot- dunce- ugly sheep toad donkey lazy dull dishonest parasite parasites miserabl- criminal- greedy liar liars pig pigs monster- vile asham- wretch-",
     "de": "idiot- trottel- versager- arschloch- arschlocher schwein- dummkopf- depp- vollidiot- abschaum wertlos- hurensohn drecksack- missgeburt wichser- schlampe- dumm- hirnlos- erbarmlich- fresse penner- spast-",
     "fr": "imbecil- abruti- connard- connass- cretin- debil- salop- encule- ordure- gueule con conne minable- bouffon- raclure- idiot- nul nulle batard- pauvre",
     "es": "idiot- imbecil- estupid- inutil- cabron- gilipoll- pendej- tarad- payas- escoria- asqueros- maldit- perra zorra basura subnormal- capull-",
@@ -54,13 +54,21 @@ DEGRADE = {
     "ja": "害虫- 寄生虫- 虫けら-",
 }
 SEXUAL = {
-    "en": "naked nude- sex sexy sexual- porn- horny cock dick pussy tits titties boob- breast- thigh- moan- lust- orgasm- climax- cum cumming lick- spank- lube lingerie panties underwear undress- erotic- xxx uncensored blowjob- handjob- suck- dildo- masturbat- kinky fetish- bed groan- bodies body shower hard wet lips nipple- ass explicit adults strangers pleasure- selfie- pics",
+    "en": "naked nude- sex sexy sexual- porn- horny cock dick pussy tits titties boob- breast- thigh- moan- lust- orgasm- climax- cum cumming lick- spank- lube lingerie panties underwear undress- erotic- xxx uncensored blowjob- handjob- suck- dildo- masturbat- kinky fetish- bed groan- bodies body shower hard wet lips nipple- ass explicit adults strangers pleasure- selfie- pics knees strip wearing touch touching yourself",
     "de": "nackt- geil- fick- sex titten schwanz muschi stohn- bruste- bett feucht- lutsch- blas-",
     "fr": "nue nues nu nus baiser- sexe- bite chatte seins jouir- gemi- sucer- suce lech- cuisses lit envie- photos",
     "es": "desnud- follar- follo sexo polla cono tetas culo calient- chupar- gemi- muslos cama correrte- fotos",
     "ru": "секс- голая голые трах- порно-",
     "ja": "セックス- エロ- おっぱい- 裸-",
 }
+CONTEMPT = {
+    "en": "nobody brain- favour favor miss asham- exist- smell- crawl- hole wonder waste joke embarrass- mother learn log-off better existing wall walls wish",
+    "de": "niemand keiner hirn- gehirn- scham- schande mutter",
+    "fr": "personne cerveau honte mere",
+    "es": "nadie cerebro verguenza madre",
+    "ru": "никто мозг-",
+    "ja": "恥-",
+}
 TECHNICAL = {
     "en": "process- job- build- docs installer release parser socket port server- replica- thread- daemon bug- cache script- software terminal- test- whitespace worker- input output code table- column- log- request- service version- cursor- tool- queue- testing api config- upload- crash- export light control",
     "de": "dienst prozess- datei- anlage speicher zeile- fassung server-",
@@ -87,7 +95,7 @@ SCHOLARLY = {
 }
 CLASSES = {
     "INS": INSULT, "PRO": PROFANITY, "THR": THREAT, "YOU": SECOND_PERSON, "GRP": GROUP, "DEG": DEGRADE, "SEX": SEXUAL,
-    "TEC": TECHNICAL, "SLF": FIRST_PERSON, "MOD": MODERATION, "SCH": SCHOLARLY,
+    "CON": CONTEMPT, "TEC": TECHNICAL, "SLF": FIRST_PERSON, "MOD": MODERATION, "SCH": SCHOLARLY,
 }
 #: Letters of other scripts that look like Latin ones, each above the letter it stands for.
 LOOKALIKES = dict(
@@ -102,7 +110,7 @@ LEET = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7
 #: a starred word that could not be read. Training moves the weights from here.
 EXPECTED = {
     ("INS",): 0.8, ("PRO",): 0.8, ("MSK",): 0.8, ("MOD",): -1.0, ("SCH",): -0.7, ("TEC",): -0.4,
-    ("INS", "YOU"): 1.0, ("PRO", "YOU"): 0.8, ("INS", "PRO"): 0.8, ("THR",): -0.3, ("THR", "YOU"): 1.2, ("DEG", "YOU"): 0.6, ("GRP", "DEG"): 1.5,
+    ("INS", "YOU"): 1.0, ("PRO", "YOU"): 0.8, ("INS", "PRO"): 0.8, ("THR",): -0.3, ("THR", "YOU"): 1.2, ("DEG",): 0.3, ("DEG", "YOU"): 0.6, ("CON", "YOU"): 0.6, ("CON", "INS"): 0.6, ("CON", "TEC"): -0.6, ("GRP", "DEG"): 1.5,
     ("GRP", "INS"): 0.6, ("SEX", "YOU"): 0.8, ("SEX", "SLF"): 0.3, ("YOU", "MSK"): 1.4, ("INS", "SLF"): -0.8, ("INS", "TEC"): -0.4,
     ("SEX", "SCH"): -0.6, ("GRP", "SCH"): -0.8, ("THR", "TEC"): -0.6, ("INS", "MOD"): -1.2, ("SEX", "MOD"): -1.0, ("PRO", "MOD"): -1.0, ("GRP", "MOD"): -0.8,
 }

@@ -5,9 +5,9 @@ after undoing case, accents and spelling tricks. They are features only: the tra
 """
 
 INSULT = {
-    "en": "idiot- moron- imbecil- cretin- dimwit- halfwit- nitwit- clown- loser- scum- bastard- bitch- asshole- arsehole- jackass- dumbass- prick- twat- wanker- dickhead- swine piece-of worthless useless pathetic stupid dumb brainless disgusting retard- freak- creature coward- trash fool- lowlife- maggot- dunce- ugly sheep toad donkey lazy dull dishonest parasite parasites miserabl- criminal- greedy liar liars pig pigs monster- vile asham- wretch-",
+    "en": "idiot- moron- imbecil- cretin- dimwit- halfwit- nitwit- clown- loser- scum- bastard- bitch- asshole- arsehole- jackass- dumbass- prick- twat- wanker- dickhead- swine piece-of worthless useless pathetic stupid dumb brainless disgusting retard- freak- creature coward- trash fool- lowlife- maggot- dunce- ugly sheep toad donkey dull dishonest parasite parasites miserabl- criminal- greedy liar liars pig pigs monster- vile asham- wretch-",
     "de": "idiot- trottel- versager- arschloch- arschlocher schwein- dummkopf- depp- vollidiot- abschaum wertlos- hurensohn drecksack- missgeburt wichser- schlampe- dumm- hirnlos- erbarmlich- fresse penner- spast-",
-    "fr": "imbecil- abruti- connard- connass- cretin- debil- salop- encule- ordure- gueule con conne minable- bouffon- raclure- idiot- nul nulle batard- pauvre",
+    "fr": "imbecil- abruti- connard- connass- cretin- debil- salop- encule- ordure- gueule minable- bouffon- raclure- idiot- nulle batard- pauvre",
     "es": "idiot- imbecil- estupid- inutil- cabron- gilipoll- pendej- tarad- payas- escoria- asqueros- maldit- perra zorra basura subnormal- capull-",
     "it": "stronz- coglion- cretin- bastard- scem-",
     "ru": "идиот- дебил- урод- твар- мраз- сук- придур- дурак- козел-",
@@ -22,7 +22,7 @@ PROFANITY = {
     "ja": "くそ- 糞-",
 }
 THREAT = {
-    "en": "kill- break smash- beat burn- punch- rot dying hang hanged stab stabs stabbed shoot- hurt- regret- blood- bones bleed- jaw teeth neck legs skull throat slit strangle- murder- choke- drown- knife swear promise suffer- grave corpse warn- ditch wheelchair hospital coffin fingers disappear drown- locked",
+    "en": "kill- break smash- beat burn- punch- rot dying hang hanged stab stabs stabbed shoot- hurt- regret- blood- bones bleed- jaw teeth neck legs skull throat slit strangle- murder- choke- drown- knife swear promise suffer- grave corpse ditch wheelchair hospital coffin fingers disappear drown- locked",
     "de": "schlag- umbring- tote- brech- brich- zahne- fertig- busse- krepier- verreck- blut- knochen- kehle sterben stirb warte",
     "fr": "tue tuer tuerai trouve- casse- creve- frappe- dents brule- sang- egorg- mourir meurs regrett-",
     "es": "matar- mato rompo romper- partir- encuentr- golpe- quem- huesos sangre- arrepent- muere- dientes degoll- cara",
@@ -33,12 +33,12 @@ SECOND_PERSON = {
     "en": "you your yours yourself youre ur u y'all yourselves",
     "de": "du dich dir dein- euch euer eure",
     "fr": "tu te toi ton ta tes vous votre vos t'",
-    "es": "tu ti te tus usted vosotros vuestr- eres contigo",
+    "es": "tu ti te tus usted vosotros vuestr- eres contigo vete callate largate",
     "ru": "ты тебя тебе вы вас",
     "ja": "お前- てめえ- 貴様-",
 }
 GROUP = {
-    "en": "women woman men girls immigrant- foreigner- refugee- migrant- disabled blind deaf northerner- southerner- easterner- westerner- believer- atheist- jew- muslim- christian- hindu- black- white- gay- lesbian- trans gypsies gypsy native- peasant- elderly wheelchair- kind race breed tribe people those",
+    "en": "women woman men girls immigrant- foreigner- refugee- migrant- disabled blind deaf northerner- southerner- easterner- westerner- believer- atheist- jew- muslim- christian- hindu- black- white- gay- lesbian- trans gypsies gypsy native- peasant- elderly wheelchair- kind race breed tribe people",
     "de": "frauen auslander- fluchtling- behindert- schwule- juden muslime- zuwander- migrant- glaubige- alte diese",
     "fr": "femmes immigre- etranger- handicap- juif- juifs arabes noirs musulman- refugie- croyants ces",
     "es": "mujeres inmigrant- extranjer- discapacit- judio- negros musulman- refugiad- creyent- esos esas",
@@ -46,7 +46,7 @@ GROUP = {
     "ja": "外国人- 移民- 女ども-",
 }
 DEGRADE = {
-    "en": "vermin- rats animals cockroach- plague disease filth- subhuman- inferior human parasite- cage camp thrown deport- exterminat- vanish- wiped beasts infest- steal- lies despise hate serve wage equal rights stink- smell- savage- belong deserve kitchen exist ruin- blood hire obey breed lesser dirty diseased genes spit throw crawl- sickens- infect-",
+    "en": "vermin- rats animals cockroach- plague disease filth- subhuman- inferior human parasite- cage camp thrown deport- exterminat- vanish- wiped beasts infest- steal- lies despise hate serve wage equal rights stink- smell- savage- belong deserve kitchen exist ruin- blood hire obey breed lesser dirty diseased genes spit throw curse- drown- exterminat- crawl- sickens- infect-",
     "de": "ungeziefer ratten tiere pest plage abschaum rausgeworfen- rauswerf- vergas- lager minderwertig- hasse- parasit- gehoren",
     "fr": "vermine- rats peste cafard- chasser parasite- animaux inferieur- renvoy- sales virer deteste-",
     "es": "plaga- ratas peste echar- escoria- bichos animales parasito- inferior- odio- sucios expulsar-",
@@ -82,7 +82,7 @@ FIRST_PERSON = {
     "es": "mi mis culpa error- yo me mio",
 }
 MODERATION = {
-    "en": "moderat- posts removed banned rules policy blocklist slurs messages reported filter- hateful threats nudity prohibited report forbidden called call counts warned",
+    "en": "moderat- posts removed banned rules policy blocklist slurs messages reported filter- hateful threats nudity prohibited report forbidden called call",
     "de": "moderat- regeln gesperrt gemeldet verboten entfernt",
     "fr": "moderat- regles interdit- retire- signale- banni-",
     "es": "moderad- reglas prohibid- retirad- denunci-",

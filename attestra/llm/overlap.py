@@ -36,7 +36,7 @@ INLINE_TAGS = ("a", "abbr", "b", "big", "code", "del", "em", "font", "i", "ins",
 SPLITS = {"train": "train", "development": "development", "dev": "development", "test": "test", "transfer": "transfer"}
 
 _INVISIBLE = re.compile(
-    "[" + "".join(re.escape(chr(i)) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Cf") + "︀-️\U000e0100-\U000e01ef]"
+    "[" + "".join(re.escape(chr(i)) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Cf") + r"\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180d\u3164\ufe00-\ufe0f\uffa0\U000e0100-\U000e01ef]"
 )
 _INLINE = re.compile(rf"</?(?:{'|'.join(INLINE_TAGS)})(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)

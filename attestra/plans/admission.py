@@ -91,10 +91,10 @@ def _lexical(spark: Spark, folder: str) -> tuple[Rows, Rows, Rows]:
     return A.lexeme_rows(claims, "claim_id", "x"), claims.agg(F.count(F.lit(1)).alias("c")), A.lexeme_rows(chunks, "chunk_id", "x").drop("n")
 
 
-@query("WITH " + _LEX + " SELECT lexeme, df, idf FROM fr")
+@query("WITH " + _LEX + " SELECT lexeme, df, round(idf, 9) AS idf FROM fr")
 def lexical_idf(spark: Spark, folder: str) -> Rows:
     index, total, _ = _lexical(spark, folder)
-    return A.document_frequency(index, total)
+    return A.document_frequency(index, total).withColumn("idf", F.round("idf", 9))
 
 
 @query("WITH " + _LEXQ + " SELECT chunk_id, lexeme, place FROM ql")

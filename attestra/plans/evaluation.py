@@ -172,9 +172,10 @@ def class_metrics(spark: Spark, folder: str) -> Rows:
     return M.class_metrics(M.confusion(_predictions(spark, folder), "truth", "pred"), "truth", "pred")
 
 
-@query(f"WITH {_PR}, {_CLS} SELECT (SELECT avg(CASE WHEN truth = pred THEN 1.0 ELSE 0 END) FROM pr) AS accuracy, (SELECT avg(2 * tp / (t + g)) FROM cl WHERE t > 0) AS macro_f1")
+@query(f"WITH {_PR}, {_CLS} SELECT (SELECT round(avg((truth = pred)::INT), 9) FROM pr) AS accuracy, (SELECT round(avg(2 * tp / (t + g)), 9) FROM cl WHERE t > 0) AS macro_f1")
 def macro_f1(spark: Spark, folder: str) -> Rows:
-    return M.accuracy_and_macro_f1(M.confusion(_predictions(spark, folder), "truth", "pred"), "truth", "pred")
+    rows = M.accuracy_and_macro_f1(M.confusion(_predictions(spark, folder), "truth", "pred"), "truth", "pred")
+    return rows.select(F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 9).alias("macro_f1"))
 
 
 @query(
@@ -264,11 +265,11 @@ def cluster_bootstrap(spark: Spark, folder: str) -> Rows:
 
 
 @query(
-    """SELECT event_type AS kind, count(value) AS n, median(value) AS median, quantile_cont(value, 0.9) AS p90_linear, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1"""
+    """SELECT event_type AS kind, count(value) AS n, round(median(value), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90_linear, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1"""
 )
 def latency_percentiles(spark: Spark, folder: str) -> Rows:
     rows = table(spark, folder, "events").select(F.col("event_type").alias("kind"), "value")
-    return M.percentiles(rows, ["kind"], "value")
+    return M.percentiles(rows, ["kind"], "value").withColumns({c: F.round(c, 6) for c in ("median", "p90_linear")})
 
 
 @query(

@@ -26,6 +26,8 @@ from .forest import Forest
 #: Parameters of the index: rows of the fitting sample for each model, rows a leaf holds at most on average, trees,
 #: further leaves a query looks into, most keys whose superseded rows are told to the tasks by broadcast.
 SAMPLE_ROWS, LEAF_ROWS, TREES, PROBES, BROADCAST_KEYS = 16384, 4096, 2, 1, 1 << 20
+#: Rows of a leaf where neighbours of any similarity are wanted: far ones are parted by a tree more often than close ones.
+FAR_LEAF_ROWS = 8192
 
 
 def current_vectors(df: DataFrame, key: str, model: str, vector: str, time: str) -> DataFrame:

@@ -41,16 +41,22 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return first.select("document_version_id", F.explode(reasons).alias("reason")).distinct()
 
 
-def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+def _similar(spark: SparkSession, folder: str, floor: bool, leaf_rows: int) -> DataFrame:
+    """The search of problem 4; ``floor``: only at ``min_similarity`` or more."""
     config = table(spark, folder, "retrieval_config").select("claim_top_k", "min_similarity", "dimension").first()
+    least = config["min_similarity"] if floor else -1.0
     staged = table(spark, folder, "staged_embedding")
     return neighbours.most_similar(
-        staged, "chunk_version_id", "model_artifact_id", "embedding", "staged_at", config["claim_top_k"], config["dimension"], config["min_similarity"]
+        staged, "chunk_version_id", "model_artifact_id", "embedding", "staged_at", config["claim_top_k"], config["dimension"], least, leaf_rows=leaf_rows
     )
 
 
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return _similar(spark, folder, False, neighbours.FAR_LEAF_ROWS)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = neighbours.similar_pairs(p4_neighbours(spark, folder))
+    pairs = neighbours.similar_pairs(_similar(spark, folder, True, neighbours.LEAF_ROWS))
     return pairs.toDF("model_artifact_id", "chunk_version_id_a", "chunk_version_id_b")
 
 

@@ -21,3 +21,12 @@ def test_query_runs(name, spark, data):
     frame = QUERIES[name](spark, data)
     assert frame.columns == COLUMNS.get(name, frame.columns)
     assert frame.count() > 0
+
+
+def test_every_usable_vector_has_its_full_list_of_neighbours(spark, duck, data):
+    """The lists have no least similarity, only the pairs have one."""
+    start = oracle_sql()["p4_found"].split("SELECT DISTINCT")[0]
+    want = set(duck.execute(f"{start} SELECT m, ca, cb FROM t WHERE r <= claim_top_k").fetchall())
+    low = duck.execute(f"{start} SELECT count(*) FROM t WHERE r <= claim_top_k AND x < min_similarity").fetchone()[0]
+    got = {(r["model"], r["key"], r["other"]) for r in QUERIES["p4_neighbours"](spark, data).collect()}
+    assert low > 0 and len(got) == len(want) and len(want & got) >= 0.9 * len(want)

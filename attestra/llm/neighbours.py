@@ -147,9 +147,9 @@ def _route(forests: dict[str, Forest], probes: int, dimension: int, least: int,
                 if forest is None:
                     continue
                 rows = np.flatnonzero(models == name)
-                unit = _unit(x[rows]).astype(np.float32)
+                unit = _unit(x[rows])
                 direction = np.array([xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63) for u in unit], np.int64)
-                leaves, trees = forest.search(unit, probes)
+                leaves, trees = forest.search(unit.astype(np.float32), probes)
                 flat = leaves.ravel()
                 order = np.argsort(flat, kind="stable")
                 order = order[flat[order] >= 0]
@@ -171,33 +171,44 @@ def _route(forests: dict[str, Forest], probes: int, dimension: int, least: int,
 _FOUND = pa.schema([("model", pa.string()), ("h", pa.int64()), ("near", pa.list_(pa.struct([("d", pa.float64()), ("key", pa.string())])))])
 
 
+def _first(exact: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the k greatest of each row within the mask ``near``, of equal ones the first."""
+    width = exact.shape[1]
+    if width <= k:
+        return near
+    exact = np.where(near, exact, -np.inf)
+    last = np.partition(exact, width - k, axis=1)[:, width - k, None]
+    above, tied = exact > last, near & (exact == last)
+    return above | tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True))
+
+
 def leaf_neighbours(x: np.ndarray, items: list[list[str]], k: int, least_similarity: float, rows: int = 1024) -> Iterator[list[tuple[float, str]]]:
     """For each row of the unit matrix ``x`` the k best of all items with at least that cosine, as (-cosine, key),
-    best first; items[i]: the keys at direction i, ascending. The matrix product preselects, exact cosines decide."""
-    target = np.flatnonzero([bool(v) for v in items])
+    best first; items[i]: the keys at direction i, ascending. The matrix product in single precision only leaves out what
+    cannot be among the k best by the bound of its error; exact cosines decide. Columns ascend by their least key."""
+    target = np.array(sorted((i for i, v in enumerate(items) if v), key=lambda i: items[i][0]), np.int64)
     single = x.astype(np.float32)
     goal = single[target].T.copy()
-    spare, slack = k + 8, 1e-4
+    width, slack = len(target), (x.shape[1] + 4) * 2.0**-23  # twice the bound: of the k-th best and of the candidate
+    rows = max(1, min(rows, (1 << 22) // max(1, width)))
     for lo in range(0, len(x), rows):
         s = single[lo : lo + rows] @ goal
-        row, col = np.nonzero(s >= least_similarity - slack)
-        if len(row) > 64 * len(s) or least_similarity <= -1:
-            width = min(spare, s.shape[1])
-            best = np.argpartition(-s, width - 1, axis=1)[:, :width] if width < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
-            row, col = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+        near = s >= least_similarity - slack
+        if width > k and (least_similarity <= -1 or np.count_nonzero(near) > 64 * len(s)):
+            near &= s >= np.partition(s, width - k, axis=1)[:, width - k, None] - slack
+        row, col = np.nonzero(near)
+        if len(row) > (k + 64) * len(s):  # many nearly equal ones
+            exact = np.round(x[lo : lo + rows] @ x[target].T, 12)
+            row, col = np.nonzero(_first(exact, near & (exact >= least_similarity), k))
+            exact = exact[row, col]
         else:
-            order = np.lexsort((-s[row, col], row))
-            row, col = row[order], col[order]
-            start = np.searchsorted(row, np.arange(len(s)))
-            kept = np.arange(len(row)) - start[row] < spare
-            row, col = row[kept], col[kept]
-        exact = np.round(np.einsum("ij,ij->i", x[lo + row], x[target[col]]), 12)
+            exact = np.round(np.einsum("ij,ij->i", x[lo + row], x[target[col]]), 12)
         bounds = np.searchsorted(row, np.arange(len(s) + 1)).tolist()
         exact, col = exact.tolist(), target[col].tolist()
         for i in range(len(s)):
-            near = [(-exact[j], key) for j in range(bounds[i], bounds[i + 1]) if exact[j] >= least_similarity for key in items[col[j]]]
-            near.sort()
-            yield near[:k]
+            near_keys = [(-exact[j], key) for j in range(bounds[i], bounds[i + 1]) if exact[j] >= least_similarity for key in items[col[j]]]
+            near_keys.sort()
+            yield near_keys[:k]
 
 
 def _search_leaf(names: list[str], k: int, least_similarity: float):

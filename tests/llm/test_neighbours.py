@@ -63,6 +63,25 @@ def test_many_equal_vectors(spark):
     assert run(spark, rows, 3, 3) == brute(rows, 3, 3, 0.7)
 
 
+@pytest.mark.parametrize("floor", [0.7, -1.0])
+def test_many_copies_of_other_lengths(spark, floor):
+    """Copies scaled by no powers of two: their cosines in single precision differ by noise alone."""
+    base = np.random.default_rng(3).standard_normal(8).astype(np.float32)
+    rows = [(f"x{i * 37 % 600:03d}", "A", (base * np.float32((3, 5, 7)[i % 3] * (2 * i + 1))).tolist(), None, "") for i in range(600)]
+    assert run(spark, rows, 3, 8, floor) == brute(rows, 3, 8, floor)
+
+
+@pytest.mark.parametrize("floor", [0.7, -1.0])
+def test_leaf_keeps_all_nearly_equal_directions(floor):
+    rng = np.random.default_rng(4)
+    base, others = rng.standard_normal(16), rng.standard_normal((300, 16))
+    x = K._unit(np.concatenate([base * rng.uniform(1, 9, (40, 1)), others]).astype(np.float32))
+    keys = [[f"k{i:03d}"] for i in rng.permutation(len(x))]
+    s = np.round(x @ x.T, 12)
+    want = [sorted((-s[i, j], keys[j][0]) for j in range(len(x)) if s[i, j] >= floor)[:5] for i in range(len(x))]
+    assert [[k for _, k in row] for row in K.leaf_neighbours(x, keys, 5, floor)] == [[k for _, k in row] for row in want]
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_recall_with_many_leaves(spark, seed):
     rows = clustered(3000, 150, 32, seed)

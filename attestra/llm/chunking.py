@@ -2,8 +2,9 @@
 
 A rolling hash runs over the text. From the last cut, the cut window lies between the least and the greatest piece
 size; its landmark is the position with the least hash, and the cut snaps to the natural boundary nearest to the
-landmark: a paragraph end if the window has one, else a sentence end, else a word end, else, inside an unbroken run,
-the landmark itself. Landmarks depend on the characters around them only, so after an edit the cuts fall back on
+landmark: a paragraph end if the window has one, else a sentence end, else a word end. A window without any takes the
+last such end before it that the overlap allows; only where there is none, it takes the edge of a run of letters and
+digits, or, inside an unbroken run, the landmark itself. Landmarks depend on the characters around them only, so after an edit the cuts fall back on
 the old ones within a few pieces. Every piece after the first starts ``overlap`` characters before the cut.
 """
 
@@ -26,6 +27,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _RUN = re.compile(r"[^\W_]+")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _SENTENCE = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+[」』）]*)\s*|\n")
+_SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\s+|[、，；：]|(?<=[^\W_])[-/,;:](?=[^\W_])")
 
 
@@ -71,6 +73,8 @@ def cut_positions(text: str, greatest: int, overlap: int) -> list[int]:
         return []
     hashes = rolling_hash(text)
     ends = [np.array(sorted({m.end() for m in p.finditer(text)} | {0}), dtype=np.int64) for p in (_PARAGRAPH, _SENTENCE, _WORD)]
+    ends.append(np.array([m.start() for m in _SPACE.finditer(text)], dtype=np.int64))  # a word may end at the limit itself
+    edges = np.array(sorted({p for m in _RUN.finditer(text) for p in m.span()}), dtype=np.int64)
     cuts: list[int] = []
     at = 0
     while n - at > greatest - (overlap if cuts else 0):
@@ -78,9 +82,14 @@ def cut_positions(text: str, greatest: int, overlap: int) -> list[int]:
         hi = at + room
         lo = min(at + max(1, overlap + 1 if not cuts else 1, int(room * LEAST_SHARE)), hi)
         landmark = lo + int(np.argmin(hashes[lo : hi + 1]))
-        cut = next((c for e in ends if (c := _nearest(e, lo, hi, landmark)) is not None), landmark)
+        first = at + (1 if cuts else overlap + 1)
+        cut = next((c for e in ends if (c := _nearest(e, lo, hi, landmark)) is not None), None)
+        if cut is None:  # the last end before the window, then any edge of a run
+            cut = max((c for e in ends if (c := _nearest(e, first, lo - 1, lo - 1)) is not None), default=None)
+        if cut is None:
+            cut = next((c for low, high in ((lo, hi), (first, lo - 1)) if (c := _nearest(edges, low, high, min(landmark, high))) is not None), landmark)
         if _splits_character(text, cut):
-            near = (p for d in range(hi - lo + 1) for p in (cut - d, cut + d) if lo <= p <= hi)
+            near = (p for d in range(hi - first + 1) for p in (cut - d, cut + d) if min(lo, cut) <= p <= hi)
             cut = next((p for p in near if not _splits_character(text, p)), cut)
         cuts.append(cut)
         at = cut

@@ -36,6 +36,16 @@ def test_cuts_prefer_natural_boundaries():
     assert all(words[c - 1] == " " for c in K.cut_positions(words, 90, 10))
 
 
+@pytest.mark.parametrize("overlap", [0, 100])
+def test_a_word_that_fits_is_not_cut(overlap):
+    text = "some words before " * 24 + "x" * 1100 + " and after" * 100  # its only blank in reach stands before the window
+    cuts = K.cut_positions(text, 1200, overlap)
+    assert cuts[0] == 18 * 24 and all(text[c - 1] != "x" or text[c] != "x" for c in cuts)
+    at_limit = "x" * 50 + " " + "y" * 40
+    assert K.cut_positions(at_limit, 50, 0) == [50]
+    assert K.cut_positions("x" * 30 + "(" + "y" * 30, 40, 0) in ([30], [31])
+
+
 def test_an_edit_changes_only_neighbouring_pieces():
     rng = random.Random(7)
     text = " ".join(f"Word{rng.randrange(9999)} follows word{rng.randrange(9999)}." for _ in range(4000))

@@ -214,7 +214,7 @@ def group_balanced_nll(spark: Spark, folder: str) -> Rows:
 def temperature_fit(spark: Spark, folder: str) -> Rows:
     """The fitted temperature (an iterative search on the driver over one aggregation a step)."""
     rows = _predictions(spark, folder).select("truth", *[F.log(F.greatest(F.col(p), F.lit(M.FLOOR))).alias(p) for p in _P.values()])
-    return spark.createDataFrame([(round(M.fit_temperature(rows, "truth", _P, steps=16), 3),)], "temperature double")
+    return spark.createDataFrame([(round(M.fit_temperature(rows, "truth", _P), 3),)], "temperature double")
 
 
 @query(

@@ -86,3 +86,20 @@ def test_refill_takes_the_best_of_the_reserve(spark):
     covered = spark.createDataFrame([("c", "a"), ("z", "q")], "k string, i string")
     got = {r["k"]: (r["deficit"], r["refilled"], r["fresh_needed"]) for r in A.refill(entries, covered, "k", "i", 4, 0.5).collect()}
     assert got == {"c": (3, "d,e", True), "z": (3, "", True)}
+
+
+def test_fitted_temperature_is_as_exact_as_it_is_given(spark, data):
+    import numpy as np
+
+    from attestra.plans import evaluation as E
+
+    rows = E._predictions(spark, data).select("truth", *E._P.values()).collect()
+    x = np.log(np.maximum([[r[c] for c in E._P.values()] for r in rows], M.FLOOR))
+    own = x[np.arange(len(x)), [list(E._P).index(r["truth"]) for r in rows]]
+    loss = lambda t: float(np.mean(np.log(np.exp((x - x.max(1)[:, None]) / t).sum(1)) - (own - x.max(1)) / t))
+    lower, upper = math.log(0.05), math.log(20.0)
+    for _ in range(200):
+        c, d = lower + (upper - lower) / 3, upper - (upper - lower) / 3
+        lower, upper = (lower, d) if loss(math.exp(c)) <= loss(math.exp(d)) else (c, upper)
+    got = E.temperature_fit(spark, data).first()["temperature"]
+    assert abs(got - math.exp(lower)) < 0.00051

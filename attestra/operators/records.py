@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,11 +62,11 @@ def group_bounded_sample(rows: DataFrame, group: str, seed: str, most: int) -> D
     return rows.join(chosen, group, "left_semi")
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, most_rounds: int | None = None) -> DataFrame:
     """node, component (its least node): connected components by alternating large-star and small-star steps.
 
     Every round maps edges to edges, its result is written to the shared checkpoint folder, and the loop ends when nothing changes;
-    rounds grow with the logarithm of the longest path. Edges with a null end are ignored; loops make single nodes.
+    rounds grow with the logarithm of the longest path. If ``most_rounds`` are given and run out before, that is an error. Edges with a null end are ignored; loops make single nodes.
     """
     rows = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
     nodes = rows.select("u").unionByName(rows.select(F.col("v").alias("u"))).distinct()
@@ -81,7 +82,9 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         linked = e.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return linked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
-    for _ in range(most_rounds):
+    for done in itertools.count():
+        if done == most_rounds:
+            raise RuntimeError(f"components still change after {most_rounds} rounds")
         after = materialize(small_star(large_star(current).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")))
         before, current = current, after
         if before.count() == after.count() and before.join(after, ["u", "v"], "left_anti").isEmpty():

@@ -103,3 +103,10 @@ def test_fitted_temperature_is_as_exact_as_it_is_given(spark, data):
         lower, upper = (lower, d) if loss(math.exp(c)) <= loss(math.exp(d)) else (c, upper)
     got = E.temperature_fit(spark, data).first()["temperature"]
     assert abs(got - math.exp(lower)) < 0.00051
+
+
+def test_components_that_still_change_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        R.components(edges, "a", "b", most_rounds=1)
+    assert {r["component"] for r in R.components(edges, "a", "b").collect()} == {0}

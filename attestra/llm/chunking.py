@@ -10,6 +10,7 @@ the old ones within a few pieces. Every piece after the first starts ``overlap``
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -36,11 +37,6 @@ def canonical_text(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n").strip()
 
 
-def longest_run(text: str) -> int:
-    """Length of the longest unbroken run of letters and digits."""
-    return max((m.end() - m.start() for m in _RUN.finditer(text)), default=0)
-
-
 def rolling_hash(text: str) -> np.ndarray:
     """For each position p in 0..n the hash of the WINDOW characters that end before p and of the one behind."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -104,34 +100,51 @@ def pieces(text: str, greatest: int, overlap: int) -> list[tuple[int, int]]:
     return list(zip(starts, [*cuts, len(text)]))
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "piece", "n_pieces", "start", "end", "text", "over_limit", "no_boundary"]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
-    for batch in batches:
-        rows: list[tuple] = []
-        for key, raw, greatest, overlap in zip(*[batch[c].to_pylist() for c in ("key", "text", "greatest", "overlap")]):
-            text = canonical_text(raw)
-            over = len(text) > greatest
-            unbroken = over and longest_run(text) > greatest
-            spans = pieces(text, greatest, min(max(overlap or 0, 0), greatest - 1))
-            rows += [(key, i, len(spans), a, b, text[a:b], over, unbroken) for i, (a, b) in enumerate(spans)]
-            if sum(len(r[5]) for r in rows[-len(spans) :]) > 1 << 22:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                rows = []
-        columns = list(zip(*rows)) if rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+def longest_cut_run(text: str, cuts: list[int]) -> int:
+    """Length of the longest run of letters and digits that a cut falls into; 0 if none does."""
+    spans = [m.span() for m in _RUN.finditer(text)] if cuts else []
+    starts = [a for a, _ in spans]
+    inside = [spans[i] for c in cuts if (i := bisect.bisect_left(starts, c) - 1) >= 0 and c < spans[i][1]]
+    return max((b - a for a, b in inside), default=0)
+
+
+def _chunk(with_text: bool):
+    names = ["key", "piece", "n_pieces", "start", "end", "over_limit", "no_boundary", "text"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()]
+    width = len(names) - (not with_text)
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [[]] * width
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names[:width])
+
+        for batch in batches:
+            rows: list[tuple] = []
+            size = 0
+            for key, raw, greatest, overlap in zip(*[batch[c].to_pylist() for c in ("key", "text", "greatest", "overlap")]):
+                text = canonical_text(raw)
+                spans = pieces(text, greatest, min(max(overlap or 0, 0), greatest - 1))
+                unbroken = longest_cut_run(text, [e for _, e in spans[:-1]]) > greatest
+                size += len(text)
+                rows += [(key, i, len(spans), a, b, len(spans) > 1, unbroken, *((text[a:b],) if with_text else ())) for i, (a, b) in enumerate(spans)]
+                if size > 1 << 22:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            yield batch_of(rows)
+
+    return chunk
 
 
-def chunk_texts(df: DataFrame, key: str, text: str, greatest: str, overlap: str) -> DataFrame:
-    """key, piece (0, 1, ...), n_pieces, start, end, text, over_limit, no_boundary of every text.
+def chunk_texts(df: DataFrame, key: str, text: str, greatest: str, overlap: str, with_text: bool = True) -> DataFrame:
+    """key, piece (0, 1, ...), n_pieces, start, end, over_limit, no_boundary and, if asked for, text of every piece.
 
     Positions count code points of the canonical text (LF line ends, no white space at the ends). A text within its
     limit is one piece, as is an empty or blank one (of no characters). Null texts and limits that are null or below
     1 give no rows; a null key stays a null key. An overlap that is null or negative counts as 0, one of the limit or more as
-    the limit less 1. over_limit: the text is longer than the limit; no_boundary: besides, it has a run of letters and
-    digits longer than the limit, so that some cut falls inside a word. Repeated rows give their pieces each time.
+    the limit less 1. over_limit: the text was cut; no_boundary: a cut falls inside a run of letters and digits that is
+    longer than the limit (any such run has one). Repeated rows give their pieces each time.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(greatest).cast("int").alias("greatest"), F.col(overlap).cast("int").alias("overlap"))
     rows = rows.filter(F.col("text").isNotNull() & (F.col("greatest") >= 1))
-    schema = "key string, piece int, n_pieces int, start bigint, end bigint, text string, over_limit boolean, no_boundary boolean"
-    return rows.withColumn("key", F.col("key").cast("string")).mapInArrow(_chunk, schema).withColumnRenamed("key", key)
+    schema = "key string, piece int, n_pieces int, start bigint, end bigint, over_limit boolean, no_boundary boolean" + (", text string" if with_text else "")
+    return rows.withColumn("key", F.col("key").cast("string")).mapInArrow(_chunk(with_text), schema).withColumnRenamed("key", key)

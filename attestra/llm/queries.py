@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import chunking, mixture, moderation, neighbours, overlap, tokens
+from . import chunking, mixture, moderation, neighbours, overlap, tokens, topn
 
 
 def _overlap(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -28,16 +28,28 @@ def p1_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(*_overlap(spark, folder))
 
 
-def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    hits = table(spark, folder, "impact_channel_hit").select("candidate_policy_id", "chunk_version_id", "claim_id", "rank", "score")
+    policy = table(spark, folder, "controlled_policy").select("policy_id", F.col("approximate_budget_per_inserted_chunk").alias("budget"))
+    rows = hits.filter(F.col("rank") >= 1).join(policy, hits["candidate_policy_id"] == policy["policy_id"])
+    best = topn.top_n(rows, ["candidate_policy_id", "chunk_version_id"], [("rank", True), ("score", False)], "claim_id", "budget")
+    return best.select("candidate_policy_id", "chunk_version_id", "claim_id")
+
+
+def _pieces(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
     versions = table(spark, folder, "document_version").select("document_version_id", "chunker_artifact_id", "raw_text")
     config = table(spark, folder, "chunker_config").select("artifact_id", "max_characters", "overlap_characters")
     rows = versions.join(config, versions["chunker_artifact_id"] == config["artifact_id"])
-    return chunking.chunk_texts(rows, "document_version_id", "raw_text", "max_characters", "overlap_characters")
+    return chunking.chunk_texts(rows, "document_version_id", "raw_text", "max_characters", "overlap_characters", with_text)
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder, True)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     reasons = F.array_compact(F.array(*[F.when(F.col(r), F.lit(r)) for r in ("over_limit", "no_boundary")]))
-    first = p3_pieces(spark, folder).filter("piece = 0 and document_version_id is not null")
+    first = _pieces(spark, folder, False).filter("piece = 0 and document_version_id is not null")
     return first.select("document_version_id", F.explode(reasons).alias("reason")).distinct()
 
 

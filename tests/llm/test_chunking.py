@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -46,6 +47,19 @@ def test_a_word_that_fits_is_not_cut(overlap):
     assert K.cut_positions("x" * 30 + "(" + "y" * 30, 40, 0) in ([30], [31])
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 70), st.sampled_from([" ", ". ", "\n\n", "-", ", ", "(", "。", "\t"])), max_size=25), st.integers(1, 60), st.integers(0, 30))
+def test_only_words_longer_than_a_piece_are_cut(parts, greatest, overlap):
+    overlap = min(overlap, greatest - 1)
+    text = K.canonical_text("".join("abcdé1"[n % 6] * n + gap for n, gap in parts))
+    cuts = K.cut_positions(text, greatest, overlap)
+    for m in re.finditer(r"[^\W_]+", text):
+        if m.end() - m.start() <= greatest - overlap:
+            assert not any(m.start() < c < m.end() for c in cuts)
+    longest = max((m.end() - m.start() for m in re.finditer(r"[^\W_]+", text)), default=0)
+    assert (K.longest_cut_run(text, cuts) > greatest) == (longest > greatest)
+
+
 def test_an_edit_changes_only_neighbouring_pieces():
     rng = random.Random(7)
     text = " ".join(f"Word{rng.randrange(9999)} follows word{rng.randrange(9999)}." for _ in range(4000))

@@ -73,7 +73,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+    return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text", length="n_chars")
 
 
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

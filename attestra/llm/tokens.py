@@ -16,6 +16,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +118,14 @@ class Vocabulary:
 
 @functools.lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    """One vocabulary a Python worker, read from the file that every machine has at ``path``."""
-    return Vocabulary(path)
+    """One vocabulary a Python process, read from the copy that came with the job, where there is one, else from ``path``."""
+    shipped = SparkFiles.get(os.path.basename(path)) if SparkFiles._is_running_on_worker else path
+    return Vocabulary(shipped if os.path.exists(shipped) else path)
+
+
+def _ship(df: DataFrame, path: str) -> None:
+    """Sends the vocabulary file with the job, so that no other machine needs one."""
+    df.sparkSession.sparkContext.addFile(path)
 
 
 def _encode_short(path: str, leaf: int):
@@ -177,17 +184,20 @@ def _join_blocks(path: str):
     return join
 
 
-def encode_texts(df: DataFrame, key: str, text: str, path: str = VOCABULARY, leaf: int = LEAF_BYTES, block: int = BLOCK_BYTES) -> DataFrame:
+def encode_texts(df: DataFrame, key: str, text: str, path: str = VOCABULARY, leaf: int = LEAF_BYTES, block: int = BLOCK_BYTES, length: str | None = None) -> DataFrame:
     """key (bigint) and ids (array<int>), one row for each row of ``df``.
 
     ids is [] for an empty and for a null text. Texts of up to ``block`` code points are encoded where they are read;
-    longer ones are cut into blocks that are encoded in parallel and joined again. Repeated rows and keys, null keys
-    among them, give a row each. Extra columns are ignored.
+    longer ones are cut into blocks that are encoded in parallel and joined again. ``length`` may name a column with the
+    texts' lengths: the scan for long texts then skips all pages that have none. It only decides which way a text goes, and both
+    give the same ids, so a wrong or null length does no harm. Repeated rows and keys, null keys among them, give a row
+    each. Extra columns are ignored.
     """
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    long = F.coalesce(F.char_length("text") > block, F.lit(False))
-    short = rows.filter(~long).mapInArrow(_encode_short(path, leaf), "id bigint, ids array<int>")
-    parts = rows.filter(long).withColumn("row", F.monotonically_increasing_id())
+    _ship(df, path)
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), (F.col(length) if length else F.char_length(text)).alias("__length"))
+    long = (F.col("__length") > block) & (F.col("text") != "")
+    short = rows.filter(~F.coalesce(long, F.lit(False))).select("id", "text").mapInArrow(_encode_short(path, leaf), "id bigint, ids array<int>")
+    parts = rows.filter(long).select("id", "text").withColumn("row", F.monotonically_increasing_id())
     parts = parts.mapInArrow(_split_long(path, block), "row bigint, id bigint, seq int, data binary, stretch boolean, inside boolean")
     coded = parts.repartition("row", "seq").mapInArrow(_encode_blocks(path, leaf), "row bigint, id bigint, seq int, inside boolean, ids array<int>")
     joined = coded.groupBy("row").applyInArrow(_join_blocks(path), "id bigint, ids array<int>")
@@ -203,6 +213,7 @@ def count_tokens(df: DataFrame, text: str, path: str = VOCABULARY, leaf: int = L
             n = [len(v.encode(t, leaf)) if t else 0 for t in batch["__text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch[i] for i in range(batch.num_columns - 1)], pa.array(n, pa.int32())], [*batch.schema.names[:-1], "tokens"])
 
+    _ship(df, path)
     rows = df.select(*[c for c in df.columns if c not in (text, "tokens")], F.col(text).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(count, ", ".join(x for x in (fields, "tokens int") if x))

@@ -62,3 +62,7 @@ def test_awkward_rows(spark):
     want = list(zip((r[0] for r in rows), by_library([r[1] or "" for r in rows])))
     assert sorted(got, key=str) == sorted(want, key=str)
     assert K.encode_texts(spark.createDataFrame([], kind), "doc_id", "text").count() == 0
+    for length in ("seq", "n"):  # lengths that are wrong or null change nothing
+        frame = spark.createDataFrame(rows, kind).selectExpr("*", "if(doc_id = 1 or doc_id = 4, 900, null) n")
+        again = [(r["doc_id"], r["ids"]) for r in K.encode_texts(frame, "doc_id", "text", leaf=64, block=128, length=length).collect()]
+        assert sorted(again, key=str) == sorted(want, key=str)

@@ -8,6 +8,9 @@ the leaves found for a vector is merged, so a pair is found if either side finds
 
 Equal vectors and equal directions are kept once in a block and in a leaf, with the few identifiers that can be among the
 k most similar, so copies of one vector, however many, cost a leaf one row of its matrix.
+
+The sample grows with the number of leaves up to a bound. A leaf that still has many more rows than planned is not compared
+with itself as a whole: its task fits a forest of its own on a bounded sample of the leaf and searches that in the same way.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .forest import Forest
 
 #: Parameters of the index: rows of the fitting sample for each model, rows a leaf holds at most on average, trees,
 #: further leaves a query looks into, most keys whose superseded rows are told to the tasks by broadcast.
 SAMPLE_ROWS, LEAF_ROWS, TREES, PROBES, BROADCAST_KEYS = 16384, 4096, 2, 1, 1 << 20
+#: Rows of the sample for each leaf, most rows of a sample, and the multiple of ``leaf_rows`` from which a leaf is split again.
+SAMPLE_PER_LEAF, MOST_SAMPLE_ROWS, SPLIT_FROM = 16, 1 << 18, 4
 #: Rows of a leaf where neighbours of any similarity are wanted: far ones are parted by a tree more often than close ones.
 FAR_LEAF_ROWS = 8192
 
@@ -66,8 +72,10 @@ def _sampled(dimension: int):
 
 
 def fit_forests(rows: DataFrame, counts: dict[str, int], dimension: int, sample_rows: int, leaf_rows: int, trees: int) -> dict[str, Forest]:
-    """A forest for each model, fitted on about ``sample_rows`` of its rows, chosen by a hash of their key."""
-    shares = F.create_map(*[F.lit(x) for m, n in counts.items() for x in (m, min(1.0, sample_rows / max(1, n)))])
+    """A forest for each model, fitted on about ``sample_rows`` of its rows or, with many leaves, SAMPLE_PER_LEAF for each, at
+    most MOST_SAMPLE_ROWS over all models; chosen by a hash of their key."""
+    wanted = {m: max(sample_rows, min(SAMPLE_PER_LEAF * (n // leaf_rows), MOST_SAMPLE_ROWS // len(counts))) for m, n in counts.items()}
+    shares = F.create_map(*[F.lit(x) for m, n in counts.items() for x in (m, min(1.0, wanted[m] / max(1, n)))])
     draw = F.pmod(F.xxhash64("key", "model", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.filter(draw < F.element_at(shares, F.col("model"))).select("model", "vector")
     drawn = sample.mapInArrow(_sampled(dimension), "model string, row binary").toArrow()
@@ -211,7 +219,25 @@ def leaf_neighbours(x: np.ndarray, items: list[list[str]], k: int, least_similar
             yield near_keys[:k]
 
 
-def _search_leaf(names: list[str], k: int, least_similarity: float):
+def split_neighbours(x: np.ndarray, items: list[list[str]], k: int, least_similarity: float, leaf_rows: int, trees: int, probes: int) -> list[list[tuple[float, str]]]:
+    """What ``leaf_neighbours`` gives, for a leaf of many rows: by a forest over the leaf, so almost all of the k best."""
+    single = x.astype(np.float32)
+    sample = np.unique(np.linspace(0, len(x) - 1, min(len(x), SAMPLE_ROWS)).astype(np.int64))  # directions stand in the order of their hashes
+    forest = Forest(single[sample], -(-len(x) // leaf_rows), trees)
+    leaves, width = forest.search(single, probes)[0], trees + probes
+    flat = leaves.ravel()
+    order = np.argsort(flat, kind="stable")
+    order = order[flat[order] >= 0]
+    out: list[list[tuple[float, str]]] = [[] for _ in range(len(x))]
+    for part in np.split(order, np.flatnonzero(np.diff(flat[order])) + 1):
+        rows, item = part // width, part % width < trees
+        found = leaf_neighbours(x[rows], [items[r] if own else [] for r, own in zip(rows.tolist(), item.tolist())], k, least_similarity)
+        for r, near in zip(rows.tolist(), found):
+            out[r] = sorted(set(out[r]).union(near))[:k] if out[r] else near
+    return out
+
+
+def _search_leaf(names: list[str], k: int, least_similarity: float, leaf_rows: int, trees: int, probes: int):
     def search(key: tuple, table: pa.Table) -> pa.Table:
         parts = [_unpack(b.as_py()) for b in table["block"]]
         directions = np.concatenate([p[1] for p in parts])
@@ -226,7 +252,11 @@ def _search_leaf(names: list[str], k: int, least_similarity: float):
                 queries[vector] = d
                 if is_item:
                     items[d].add(name)
-        near = list(leaf_neighbours(x, [sorted(v)[:k] for v in items], k, least_similarity))
+        few = [sorted(v)[:k] for v in items]
+        if len(x) > SPLIT_FROM * leaf_rows:
+            near = split_neighbours(x, few, k, least_similarity, leaf_rows, trees, probes)
+        else:
+            near = list(leaf_neighbours(x, few, k, least_similarity))
         found = [(h, near[d]) for h, d in queries.items() if near[d]]
         model = names[key[0].as_py() >> 32]
         lists = [[{"d": d, "key": name} for d, name in v] for _, v in found]
@@ -250,7 +280,7 @@ def most_similar(
     spark = df.sparkSession
     rows = df.select(F.col(model).cast("string").alias("model"), F.col(key).cast("string").alias("key"), F.col(vector).alias("vector"), F.col(time).alias("time"))
     rows = rows.filter(F.col("model").isNotNull() & F.col("key").isNotNull())
-    current = current_vectors(rows, "key", "model", "vector", "time")
+    current = materialize(current_vectors(rows, "key", "model", "vector", "time"))
     counts = {r["model"]: r["n"] for r in current.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
     near_type = "model string, h bigint, near array<struct<d:double,key:string>>"
     out_type = "model string, key string, place int, other string, similarity double"
@@ -275,7 +305,7 @@ def most_similar(
         yield from _route(index.value[0], probes, dimension, least, *index.value[1:])(batches)
 
     blocks = routed.mapInArrow(route, "leaf bigint, block binary")
-    found = blocks.groupBy("leaf").applyInArrow(_search_leaf(sorted(forests), least, least_similarity), near_type)
+    found = blocks.groupBy("leaf").applyInArrow(_search_leaf(sorted(forests), least, least_similarity, leaf_rows, trees, probes), near_type)
     merged = found.groupBy("model", "h").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
     lists = current.select("model", "key", "h").join(merged, ["model", "h"])
     names = F.transform("near", lambda x: x["key"])

@@ -101,3 +101,19 @@ def test_forest_puts_every_vector_into_one_leaf_of_each_tree():
     assert np.bincount(leaves[:, 0]).max() < 2000 * 3 / 32 * 2
     single, _ = Forest(x[:4], 8, 1).search(x[:10], 2)
     assert set(single[:, 0].tolist()) == {0} and (single[:, 1:] == -1).all()
+
+
+def test_a_leaf_of_many_rows_is_split_again(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 16))
+    x = K._unit(centres[rng.integers(60, size=6000)] + 0.3 * rng.standard_normal((6000, 16)))
+    items = [[f"k{i:05d}"] for i in range(len(x))]
+    want = list(K.leaf_neighbours(x, items, 6, 0.7))
+    got = K.split_neighbours(x, items, 6, 0.7, 400, 2, 1)
+    assert sum(len(set(a) & set(b)) for a, b in zip(want, got)) >= 0.95 * sum(map(len, want))
+    assert all(near == sorted(near) and (0.7 <= -near[-1][0] if near else True) for near in got)
+    assert K.split_neighbours(x[:3], [["a"], [], []], 6, -1.0, 1, 2, 1)[1][0][1] == "a"
+    rows = clustered(3000, 40, 8)
+    monkeypatch.setattr(K, "SPLIT_FROM", 0)
+    want, got = brute(rows, 3, 8, 0.7), run(spark, rows, leaf_rows=200)
+    assert len(set(want) & set(got)) >= 0.9 * len(want)

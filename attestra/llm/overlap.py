@@ -2,14 +2,14 @@
 
 Records are canonicalised (case, Unicode form, invisible characters, punctuation, white space, markup) and hashed;
 rows with equal hashes form one class, and all further work is on one row a class, so copies are never expanded
-before the result. Evaluation hashes meet training hashes in two equi-joins:
+before the result. Words travel as 64-bit hashes from the first step on; no text leaves the scan. Evaluation hashes meet training hashes in two equi-joins:
 
 * exact: the class hash over the sorted words of both texts;
 * almost: hashes of single words. Two texts that share at least 3/4 of the longer one's words (with repeats, in any
   order) share a word among the first ``n - ceil(3n/4) + 1`` of each in any fixed order of words, so joining the
   hashes of these words misses no pair. The order puts frequent words last. Word hashes that are still frequent are
   joined together with a word of the other text, which must agree as well. Bitmaps of both texts travel with
-  the hashes and bound the shared words from above inside the join; what is left is counted exactly.
+  the hashes and bound the shared words from above inside the join; what is left is counted on the hashed words.
 """
 
 from __future__ import annotations
@@ -60,17 +60,16 @@ def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", _INVISIBLE.sub("", text).casefold()))
 
 
+def _numbered(text: str) -> Iterator[str]:
+    seen: dict[str, int] = {}
+    for word in words(text):
+        seen[word] = k = seen.get(word, 0) + 1
+        yield word if k == 1 else f"{word}\t{k}"
+
+
 def elements(text: str) -> list[str]:
     """The words as a set: the k-th repeat of a word is an element of its own."""
-    out = sorted(words(text))
-    word, repeat = out[0] if out else "", 1
-    for i in range(1, len(out)):
-        repeat = repeat + 1 if out[i] == word else 1
-        if repeat > 1:
-            out[i] = f"{word}\t{repeat}"
-        else:
-            word = out[i]
-    return out
+    return sorted(_numbered(text))
 
 
 def shares_enough(a: list[str], b: list[str], share: float) -> bool:
@@ -78,23 +77,37 @@ def shares_enough(a: list[str], b: list[str], share: float) -> bool:
     return len(set(a) & set(b)) >= share * max(len(a), len(b)) > 0
 
 
-def _hash64(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+def _hashed(text: str, known: dict[str, int]) -> list[int]:
+    """The elements of a text as ascending 64-bit hashes; ``known`` keeps the hashes of words."""
+    out = []
+    for word in _numbered(text):
+        h = known.get(word)
+        if h is None:
+            h = known[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+        out.append(h)
+    out.sort()
+    return out
 
 
 def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
     for batch in batches:
-        claims = [elements(t) for t in batch["claim"].to_pylist()]
-        evidence = [elements(t) for t in batch["evidence"].to_pylist()]
-        hashes = [hashlib.md5("\n".join([*a, "", *b]).encode("utf-8", "surrogatepass")).digest() for a, b in zip(claims, evidence)]
-        yield pa.RecordBatch.from_arrays(
-            [batch["example_id"], batch["source"], batch["split"], pa.array(hashes, pa.binary()), pa.array(claims, pa.list_(pa.string())), pa.array(evidence, pa.list_(pa.string()))],
-            ["example_id", "source", "split", "hash", "claim", "evidence"],
-        )
+        if len(known) > 1 << 20:
+            known.clear()
+        claims = [_hashed(t, known) for t in batch["claim"].to_pylist()]
+        evidence = [_hashed(t, known) for t in batch["evidence"].to_pylist()]
+        claims, evidence = pa.array(claims, pa.list_(pa.int64())), pa.array(evidence, pa.list_(pa.int64()))
+        a, b = claims.flatten().to_numpy(), evidence.flatten().to_numpy()
+        at, bt = claims.offsets.to_pylist(), evidence.offsets.to_pylist()
+        hashes = [hashlib.md5((at[i + 1] - at[i]).to_bytes(8) + a[at[i] : at[i + 1]].tobytes() + b[bt[i] : bt[i + 1]].tobytes()).digest() for i in range(len(batch))]
+        yield pa.RecordBatch.from_arrays([batch["example_id"], batch["source"], batch["split"], pa.array(hashes, pa.binary()), claims, evidence], _RECORD)
+
+
+_RECORD = ["example_id", "source", "split", "hash", "claim", "evidence"]
 
 
 def canonical_records(examples: DataFrame) -> DataFrame:
-    """example_id, source (folded), split (train, development, test, transfer), hash, claim and evidence as elements.
+    """example_id, source (folded), split (train, development, test, transfer), hash, claim and evidence as hashed elements.
 
     Rows of no known split, with a null id, or with a claim or evidence that is null or holds no word take no part.
     A row delivered again stays a row of its own. Extra columns are ignored.
@@ -103,7 +116,7 @@ def canonical_records(examples: DataFrame) -> DataFrame:
     rows = examples.select(
         "example_id", fold(F.col("source")).alias("source"), F.element_at(names, fold(F.col("split"))).alias("split"), "claim", "evidence"
     ).dropna(subset=["example_id", "split", "claim", "evidence"])
-    out = rows.mapInArrow(_canonical, "example_id string, source string, split string, hash binary, claim array<string>, evidence array<string>")
+    out = rows.mapInArrow(_canonical, "example_id string, source string, split string, hash binary, claim array<bigint>, evidence array<bigint>")
     return out.filter((F.size("claim") > 0) & (F.size("evidence") > 0))
 
 
@@ -111,30 +124,29 @@ def _least_shared(n: int, share: float) -> int:
     return int(np.ceil(share * n - 1e-9))
 
 
-def _prefix(items: list[str], hashes: list[int], frequent: dict[str, int], share: float) -> list[int]:
-    order = sorted(zip([frequent.get(x, 0) for x in items], hashes))
-    return [h for _, h in order[: len(items) - _least_shared(len(items), share) + 1]]
+def _prefix(hashes: list[int], frequent: dict[int, int], share: float) -> list[int]:
+    order = sorted(hashes, key=lambda h: (frequent.get(h, 0), h))
+    return order[: len(hashes) - _least_shared(len(hashes), share) + 1]
 
 
-def _signatures(frequent_claim: dict[str, int], frequent_evidence: dict[str, int], share: float):
-    """Hashes of the prefix words of both texts and a bitmap of all words of each (64 and 192 bits)."""
+def _bitmaps(column: pa.Array, width: int) -> np.ndarray:
+    """``width`` words of 64 bits for each row, in which the bits of its hashes are set."""
+    values, lengths = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    out = np.zeros((len(lengths), width), np.uint64)
+    np.bitwise_or.at(out, (row, (values >> 6) % width), np.uint64(1) << (values & 63).astype(np.uint64))
+    return out.view(np.int64)
 
-    def bits(hashes: list[int], width: int) -> list[int]:
-        out = [0] * width
-        for h in hashes:
-            out[(h >> 6) % width] |= 1 << (h & 63)
-        return [x - (1 << 64) if x >> 63 else x for x in out]
+
+def _signatures(frequent_claim: dict[int, int], frequent_evidence: dict[int, int], share: float):
+    """Hashes of the prefix words of both texts and a bitmap of all words of each (64 and 192 bits)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, maps = [], []
-            for claim, evidence in zip(batch["claim"].to_pylist(), batch["evidence"].to_pylist()):
-                a, b = [_hash64(x) for x in claim], [_hash64(x) for x in evidence]
-                keys.append((_prefix(claim, a, frequent_claim, share), _prefix(evidence, b, frequent_evidence, share)))
-                maps.append([*bits(a, 1), *bits(b, 3)])
             same = [batch[c] for c in ("cid", "train", "eval", "n_claim", "n_evidence")]
-            arrays = [pa.array([k[i] for k in keys], pa.list_(pa.int64())) for i in (0, 1)]
-            columns = [pa.array([m[i] for m in maps], pa.int64()) for i in range(4)]
+            arrays = [pa.array([_prefix(h, f, share) for h in batch[c].to_pylist()], pa.list_(pa.int64())) for c, f in (("claim", frequent_claim), ("evidence", frequent_evidence))]
+            a, b = _bitmaps(batch["claim"], 1), _bitmaps(batch["evidence"], 3)
+            columns = [pa.array(np.ascontiguousarray(x)) for x in (a[:, 0], b[:, 0], b[:, 1], b[:, 2])]
             yield pa.RecordBatch.from_arrays([*same, *arrays, *columns], _SIGNATURE)
 
     return rows

@@ -130,32 +130,31 @@ def group_balanced_loss(rows: DataFrame, domain: str, group: str, loss: str) ->
     return by_group.groupBy(domain).agg(F.avg("x").alias("x")).agg(F.avg("x").alias("balanced_loss"))
 
 
-def fit_temperature(rows: DataFrame, truth: str, logits: dict[str, str], lower: float = 0.05, upper: float = 20.0, steps: int = 40) -> float:
-    """The temperature of least mean log loss, by golden section on its logarithm. Every step is one aggregation."""
-    rows = rows.select(truth, *logits.values()).persist()
+def fit_temperature(rows: DataFrame, truth: str, logits: dict[str, str], lower: float = 0.05, upper: float = 20.0, points: int = 33, stages: int = 4) -> tuple[float, float, float]:
+    """(temperature, mean log loss at 1, mean log loss at the temperature): the least loss, which has one minimum in the temperature.
 
-    def loss(log_t: float) -> float:
-        t = math.exp(log_t)
+    Each stage is one aggregation over a grid of ``points`` on the logarithm, the next one lies between the neighbours of the best
+    point; four stages find the temperature to about 0.005 %. A minimum at ``lower`` or ``upper`` is an error, as are no rows.
+    """
+
+    def losses(grid: list[float]) -> list[float]:
         top = F.greatest(*[F.col(c) for c in logits.values()])
-        norm = sum((F.exp((F.col(c) - top) / t) for c in logits.values()), F.lit(0.0))
         own = F.coalesce(*[F.when(F.col(truth) == label, F.col(c)) for label, c in logits.items()])
-        return rows.agg(F.avg(F.log(norm) - (own - top) / t)).first()[0]
-
-    ratio = (math.sqrt(5) - 1) / 2
-    a, b = math.log(lower), math.log(upper)
-    c, d = b - ratio * (b - a), a + ratio * (b - a)
-    fc, fd = loss(c), loss(d)
-    for _ in range(steps):
-        if fc <= fd:
-            b, d, fd = d, c, fc
-            c = b - ratio * (b - a)
-            fc = loss(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + ratio * (b - a)
-            fd = loss(d)
-    rows.unpersist()
-    return math.exp((a + b) / 2)
+        at = [F.avg(F.log(sum((F.exp((F.col(c) - top) / t) for c in logits.values()), F.lit(0.0))) - (own - top) / t) for t in map(math.exp, grid)]
+        return list(rows.agg(*[x.alias(f"l{i}") for i, x in enumerate(at)]).first())
+
+    before, start, span, best = losses([0.0])[0], math.log(lower), math.log(upper) - math.log(lower), 0
+    if before is None:
+        raise ValueError("no rows to fit a temperature on")
+    for stage in range(stages):
+        grid = [start + i * span / (points - 1) for i in range(points)]
+        found = losses(grid)
+        best = min(range(points), key=found.__getitem__)
+        if stage == 0 and best in (0, points - 1):
+            raise ValueError("the loss has no minimum between the bounds")
+        step = span / (points - 1)
+        start, span = grid[best] - step, 2 * step
+    return math.exp(grid[best]), before, found[best]
 
 
 def false_invalidations(predicted: DataFrame, changed: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,32 +10,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: what separates paragraphs: a line end and at least one line of blanks.
+BLANK_LINES = re.compile(r"\n(?:[ \t\f\v]*\n)+")
+
+
 def split_long(paragraph: str, most: int) -> list[str]:
-    """Pieces of at most ``most`` characters, cut at the last white space that fits, else anywhere."""
-    out = []
-    while len(paragraph) > most:
-        at = next((i for i in range(most, 0, -1) if paragraph[i].isspace()), most)
-        out.append(paragraph[:at].rstrip())
-        paragraph = paragraph[at:].lstrip()
-    return [p for p in [*out, paragraph] if p]
+    """Pieces of at most ``most`` characters, cut at the last white space that stands within them, else behind the last character."""
+    out, rest = [], paragraph
+    while len(rest) > most:
+        at = next((i for i in range(most - 1, 0, -1) if rest[i].isspace()), most)
+        piece = rest[:at].rstrip()
+        out.append(piece or rest[:most])
+        rest = rest[at if piece else most :].lstrip()
+    return [*out, rest] if rest else out
 
 
 def pack(text: str, most: int) -> list[str]:
-    """Chunks of whole paragraphs (separated by blank lines) joined by one blank line."""
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    paragraphs, current = [], []
-    for line in [*lines, ""]:
-        if line.strip():
-            current.append(line.rstrip())
-        elif current:
-            paragraphs.append("\n".join(current).strip())
-            current = []
+    """Chunks of whole paragraphs joined by one blank line. A paragraph longer than a chunk ends the chunk before it, and its pieces are chunks of their own."""
+    paragraphs = [p for part in BLANK_LINES.split(text.replace("\r\n", "\n").replace("\r", "\n").strip()) if (p := part.strip())]
     chunks: list[str] = []
-    for piece in (p for paragraph in paragraphs for p in split_long(paragraph, most)):
-        if chunks and len(chunks[-1]) + 2 + len(piece) <= most:
-            chunks[-1] += "\n\n" + piece
+    packing = False
+    for paragraph in paragraphs:
+        if len(paragraph) > most:
+            chunks += split_long(paragraph, most)
+            packing = False
+        elif packing and len(chunks[-1]) + 2 + len(paragraph) <= most:
+            chunks[-1] += "\n\n" + paragraph
         else:
-            chunks.append(piece)
+            chunks.append(paragraph)
+            packing = True
     return chunks
 
 

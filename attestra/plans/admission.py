@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import admission as A
-from ..operators.topn import top_n
+from ..operators.ranking import first_items
 from ..session import table
 from . import fixtures as X
 from .fixtures import with_parts
@@ -143,7 +143,7 @@ _GROUP = ["candidate_policy_id", "chunk_version_id"]
 
 def _fused(spark: Spark, folder: str) -> Rows:
     rows = _hits(spark, folder).filter(F.col("channel").isin("vector", "lexical"))
-    ranked = top_n(rows, [*_GROUP, "channel"], [("rank", True), ("score", False)], "claim_id", "budget", "rank")
+    ranked = first_items(rows, [*_GROUP, "channel"], [("rank", True), ("score", False)], "claim_id", "budget", "rank")
     policy = table(spark, folder, "controlled_policy").select(F.col("policy_id").alias("candidate_policy_id"), F.col("approximate_budget_per_inserted_chunk").alias("budget"))
     return A.fuse(ranked.join(policy, "candidate_policy_id"), _GROUP, "claim_id", {"vector": 0, "lexical": 1}, "budget")
 
@@ -199,9 +199,9 @@ def policy_variant_selection(spark: Spark, folder: str) -> Rows:
     """Pairs each policy admits from the channels its kind allows, plus lineage where it asks for it."""
     hits = _hits(spark, folder)
     allowed = ((F.col("channel") == "vector") & (F.col("kind") != "lexical_only")) | ((F.col("channel") == "lexical") & (F.col("kind") != "vector_only"))
-    ranked = top_n(hits.filter(allowed), [*_GROUP, "channel"], [("rank", True), ("score", False)], "claim_id", "budget", "rank")
+    ranked = first_items(hits.filter(allowed), [*_GROUP, "channel"], [("rank", True), ("score", False)], "claim_id", "budget", "rank")
     policy = table(spark, folder, "controlled_policy").select(F.col("policy_id").alias("candidate_policy_id"), F.col("approximate_budget_per_inserted_chunk").alias("budget"))
-    best = top_n(ranked.join(policy, "candidate_policy_id"), _GROUP, [("rank", True)], "claim_id", "budget")
+    best = first_items(ranked.join(policy, "candidate_policy_id"), _GROUP, [("rank", True)], "claim_id", "budget")
     lineage = hits.filter("channel = 'lineage' and kind like 'union_lineage%'").select(*_GROUP, "claim_id")
     pairs = best.select(*_GROUP, "claim_id").unionByName(lineage).distinct()
     return pairs.groupBy("candidate_policy_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("chunk_version_id").alias("chunks"))

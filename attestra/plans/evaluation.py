@@ -13,6 +13,7 @@ from ..operators import eventlog as E
 from ..operators import metrics as M
 from ..operators import records as R
 from ..operators import temporal as T
+from ..operators.ranking import first_items
 from ..session import table
 from . import fixtures as X
 from .fixtures import P0, P1, WITHDRAWN, with_parts
@@ -210,11 +211,28 @@ def group_balanced_nll(spark: Spark, folder: str) -> Rows:
     return M.group_balanced_loss(rows, "dom", "cluster", "loss").select(F.round("balanced_loss", 9).alias("balanced_loss"))
 
 
-@query()
+def _temperature_sql(lower: float, upper: float, points: int, stages: int) -> str:
+    parts, lo, width = [], f"ln({lower}::DOUBLE)", f"(ln({upper}::DOUBLE) - ln({lower}::DOUBLE))"
+    for k in range(stages):
+        start, span = (lo, width) if not k else (f"(SELECT x - w FROM b{k - 1})", f"(SELECT 2 * w FROM b{k - 1})")
+        parts.append(f"g{k} AS (SELECT i, {start} + i * {span} / {points - 1} x, {span} / {points - 1} w FROM range({points}) t(i))")
+        parts.append(f"b{k} AS (SELECT arg_min(x, l) x, any_value(w) w, min(l) l FROM (SELECT x, any_value(w) w, avg(ln(exp((a - top) / exp(x)) + exp((b - top) / exp(x)) + exp((c - top) / exp(x))) - (own - top) / exp(x)) l FROM lg, g{k} GROUP BY x))")
+    return ", ".join(parts)
+
+
+_SIGNAL = "lg AS (SELECT *, greatest(a, b, c) top, CASE truth WHEN 'support' THEN a WHEN 'refute' THEN b ELSE c END own FROM (SELECT ln(greatest(ps, 1e-15::DOUBLE)) * 1.5 a, ln(greatest(pr, 1e-15::DOUBLE)) * 1.5 b, ln(greatest(pn, 1e-15::DOUBLE)) * 1.5 c, CASE WHEN (cs * 7 + line * 13) % 10 < 7 THEN pred ELSE truth END truth FROM pr))"
+
+
+@query(
+    f"""WITH {_PR}, {_SIGNAL}, {_temperature_sql(0.05, 20.0, 33, 4)}
+SELECT round(exp((SELECT x FROM b3)), 4) AS temperature, (SELECT round(avg(ln(exp(a - top) + exp(b - top) + exp(c - top)) - (own - top)), 6) FROM lg) AS nll_before, (SELECT round(l, 6) FROM b3) AS nll_after"""
+)
 def temperature_fit(spark: Spark, folder: str) -> Rows:
-    """The fitted temperature (an iterative search on the driver over one aggregation a step)."""
-    rows = _predictions(spark, folder).select("truth", *[F.log(F.greatest(F.col(p), F.lit(M.FLOOR))).alias(p) for p in _P.values()])
-    return spark.createDataFrame([(round(M.fit_temperature(rows, "truth", _P), 3),)], "temperature double")
+    """The fitted temperature of scores that agree with most of their labels, and the loss before and after."""
+    truth = F.when((F.col("cs") * 7 + F.col("line") * 13) % 10 < 7, F.col("pred")).otherwise(F.col("truth"))
+    rows = _predictions(spark, folder).select(truth.alias("truth"), *[(F.log(F.greatest(F.col(p), F.lit(M.FLOOR))) * 1.5).alias(p) for p in _P.values()])
+    fitted = M.fit_temperature(rows, "truth", _P)
+    return spark.createDataFrame([(round(fitted[0], 4), round(fitted[1], 6), round(fitted[2], 6))], "temperature double, nll_before double, nll_after double")
 
 
 @query(
@@ -280,10 +298,8 @@ SELECT q AS chunk_version_id, coalesce(hits, 0) / rel AS recall, coalesce(1 / f,
 )
 def retrieval_metrics(spark: Spark, folder: str) -> Rows:
     """The vector channel's first ten claims of every chunk against the first of the lexical channel."""
-    from ..operators.topn import top_n
-
     hits = table(spark, folder, "impact_channel_hit").filter("claim_id is not null and rank >= 1")
-    ranked = top_n(hits.filter("channel = 'vector'").withColumn("n", F.lit(10)), ["chunk_version_id"], [("rank", True)], "claim_id", "n", "rank")
+    ranked = first_items(hits.filter("channel = 'vector'").withColumn("n", F.lit(10)), ["chunk_version_id"], [("rank", True)], "claim_id", "n", "rank")
     relevant = hits.filter("channel = 'lexical' and rank <= 3").select("chunk_version_id", "claim_id")
     return M.ranking_metrics(ranked, relevant, "chunk_version_id", "claim_id", 10).withColumn("ndcg", F.round("ndcg", 9))
 

@@ -1,4 +1,4 @@
-"""The general data-pipeline problems: top candidates of every group and the change feed."""
+"""The general data-pipeline problem: the change feed."""
 
 from __future__ import annotations
 
@@ -7,26 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from ..operators.changefeed import fold_changes, live
-from ..operators.topn import top_n
 from ..session import table
 from .registry import query
 
 
-@query(
-    """WITH r AS (SELECT candidate_policy_id, chunk_version_id, claim_id, rank, CASE WHEN isnan(score) THEN NULL ELSE score END s, approximate_budget_per_inserted_chunk n
- FROM impact_channel_hit JOIN controlled_policy ON policy_id = candidate_policy_id WHERE claim_id IS NOT NULL AND rank >= 1 AND chunk_version_id IS NOT NULL),
-f AS (SELECT *, row_number() OVER (PARTITION BY candidate_policy_id, chunk_version_id, claim_id ORDER BY rank, s DESC NULLS LAST) k FROM r),
-g AS (SELECT *, row_number() OVER (PARTITION BY candidate_policy_id, chunk_version_id ORDER BY rank, s DESC NULLS LAST, claim_id) j FROM f WHERE k = 1)
-SELECT candidate_policy_id, chunk_version_id, claim_id FROM g WHERE j <= n"""
-)
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    hits = table(spark, folder, "impact_channel_hit").select("candidate_policy_id", "chunk_version_id", "claim_id", "rank", "score")
-    policy = table(spark, folder, "controlled_policy").select("policy_id", F.col("approximate_budget_per_inserted_chunk").alias("budget"))
-    rows = hits.filter(F.col("rank") >= 1).join(policy, hits["candidate_policy_id"] == policy["policy_id"])
-    best = top_n(rows, ["candidate_policy_id", "chunk_version_id"], [("rank", True), ("score", False)], "claim_id", "budget")
-    return best.select("candidate_policy_id", "chunk_version_id", "claim_id")
-
-
 def applied_epochs(spark: SparkSession, folder: str) -> DataFrame:
     """epoch_id, document_id, kind, document_version_id: of the rows of each epoch the one that counts."""
     feed = table(spark, folder, "m4_update").select(

@@ -27,13 +27,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's ``spark.checkpoint.dir``, or, only where that is unset
-    (tests, single machine), a temporary folder of this machine."""
+    """The folder for checkpoints: the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests,
+    single machine) a temporary folder of this machine; on a cluster, whose machines don't share such a folder, an error."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attestra-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="attestra-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 

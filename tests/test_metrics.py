@@ -30,7 +30,12 @@ def test_temperature_is_found(spark):
         weights = [math.exp(x) for x in logits]
         rows.append((rng.choices(M.LABELS, weights)[0], *[2.5 * x for x in logits]))
     df = spark.createDataFrame(rows, "t string, a double, b double, c double")
-    assert M.fit_temperature(df, "t", dict(zip(M.LABELS, "abc")), steps=18) == pytest.approx(2.5, rel=0.1)
+    found, before, after = M.fit_temperature(df, "t", dict(zip(M.LABELS, "abc")))
+    assert found == pytest.approx(2.5, rel=0.1) and after < before
+    with pytest.raises(ValueError):  # labels that the scores never hint at push the temperature to its bound
+        M.fit_temperature(df.withColumn("t", F.lit(M.LABELS[0])).filter("a < b"), "t", dict(zip(M.LABELS, "abc")))
+    with pytest.raises(ValueError):
+        M.fit_temperature(df.filter("false"), "t", dict(zip(M.LABELS, "abc")))
 
 
 def test_components_of_a_path_and_a_loop(spark):
@@ -88,21 +93,20 @@ def test_refill_takes_the_best_of_the_reserve(spark):
     assert got == {"c": (3, "d,e", True), "z": (3, "", True)}
 
 
-def test_fitted_temperature_is_as_exact_as_it_is_given(spark, data):
+def test_fitted_temperature_is_as_exact_as_it_is_given(spark):
     import numpy as np
 
-    from attestra.plans import evaluation as E
-
-    rows = E._predictions(spark, data).select("truth", *E._P.values()).collect()
-    x = np.log(np.maximum([[r[c] for c in E._P.values()] for r in rows], M.FLOOR))
-    own = x[np.arange(len(x)), [list(E._P).index(r["truth"]) for r in rows]]
-    loss = lambda t: float(np.mean(np.log(np.exp((x - x.max(1)[:, None]) / t).sum(1)) - (own - x.max(1)) / t))
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3))
+    truth = [int(np.argmax(v)) if rng.random() < 0.6 else int(rng.integers(3)) for v in x]
+    df = spark.createDataFrame([(M.LABELS[t], *map(float, v)) for t, v in zip(truth, x)], "t string, a double, b double, c double")
+    loss = lambda t: float(np.mean(np.log(np.exp(x / t).sum(1)) - x[np.arange(len(x)), truth] / t))
     lower, upper = math.log(0.05), math.log(20.0)
     for _ in range(200):
         c, d = lower + (upper - lower) / 3, upper - (upper - lower) / 3
         lower, upper = (lower, d) if loss(math.exp(c)) <= loss(math.exp(d)) else (c, upper)
-    got = E.temperature_fit(spark, data).first()["temperature"]
-    assert abs(got - math.exp(lower)) < 0.00051
+    found, before, after = M.fit_temperature(df, "t", dict(zip(M.LABELS, "abc")))
+    assert found == pytest.approx(math.exp(lower), rel=1e-4) and before == pytest.approx(loss(1.0)) and after == pytest.approx(loss(found))
 
 
 def test_components_that_still_change_are_an_error(spark):

@@ -128,8 +128,14 @@ def test_job_checks(spark):
 def test_paragraph_chunks(spark):
     text = "one\r\ntwo\n\n \nthree " + "x" * 30 + " four\n\n" + "y" * 50
     chunks = pack(text, 20)
-    assert all(0 < len(c) <= 20 for c in chunks) and chunks[0] == "one\ntwo\n\nthree"
+    assert all(0 < len(c) <= 20 for c in chunks) and chunks[0] == "one\ntwo"
     assert "".join("".join(c.split()) for c in chunks) == "".join(text.split())
+    cases = [
+        ("x" * 1300 + "\n\nshort", [1200, 100, 5]), ("a" * 600 + " " + "b" * 599 + " " + "c" * 50, [600, 650]), ("a" * 600 + " " + "b" * 598 + " " + "c" * 50, [1199, 50]),
+        ("p" * 600 + "\n\n" + "q" * 598, [1200]), ("p" * 600 + "\n\n" + "q" * 599, [600, 599]), ("k" * 10 + "\r\n\r\n" + "x" * 1201, [10, 1200, 1]), ("", []), (" \n \r\n", []), ("a\n \t\n\nb", [4]),
+    ]
+    for text, lengths in cases:
+        assert [len(c) for c in pack(text, 1200)] == lengths
     df = spark.createDataFrame([(1, "a\n\nb"), (2, None), (3, "  ")], "k int, t string")
     assert [tuple(r) for r in paragraph_chunks(df, "k", "t").collect()] == [(1, 0, "a\n\nb")]
     units = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 1, "a"), (2, 1, " "), (3, 1, "z" * 2000)], "k int, i int, t string")

@@ -10,31 +10,32 @@ from ..functions.policy import answer_status, claim_status
 STATE = ["support_count", "refute_count", "best_support", "best_refute", "support_ids", "refute_ids", "status"]
 
 
-def claim_states(claims: DataFrame, decisions: DataFrame) -> DataFrame:
+def claim_states(claims: DataFrame, decisions: DataFrame, ids: bool = True) -> DataFrame:
     """claim_id, answer_id, required and the state of every claim.
 
     Different text hashes count once. They are collapsed by a first aggregation per (claim, label, hash), so the second works on
-    few rows and no row is expanded for distinct counts. Ids are joined in ascending order, '' for none.
+    few rows and no row is expanded for distinct counts. With ``ids`` the observations are listed as well, joined in ascending
+    order, '' for none: such a list holds every id of its claim, so plans that need counts, scores or statuses leave it out.
     """
     seen = decisions.filter("label <> 'neutral'").groupBy("claim_id", "label", "text_hash")
-    seen = seen.agg(F.max("s").alias("s"), F.max("r").alias("r"), F.collect_list("observation_id").alias("ids"))
+    listed = [F.collect_list("observation_id").alias("ids")] if ids else []
+    seen = seen.agg(F.max("s").alias("s"), F.max("r").alias("r"), *listed)
 
     def of(label: str, value: Column) -> Column:
         return F.when(F.col("label") == label, value)
 
-    def ids(label: str) -> Column:
-        return F.array_join(F.sort_array(F.flatten(F.collect_list(of(label, F.col("ids"))))), ",")
+    def joined(label: str) -> Column:
+        return F.array_join(F.sort_array(F.flatten(F.collect_list(of(label, F.col("ids"))))), ",").alias(f"{label}_ids")
 
     states = seen.groupBy("claim_id").agg(
         F.count(of("support", F.lit(1))).alias("support_count"),
         F.count(of("refute", F.lit(1))).alias("refute_count"),
         F.max(of("support", F.col("s"))).alias("best_support"),
         F.max(of("refute", F.col("r"))).alias("best_refute"),
-        ids("support").alias("support_ids"),
-        ids("refute").alias("refute_ids"),
+        *([joined("support"), joined("refute")] if ids else []),
     )
     out = claims.select("claim_id", "answer_id", "required").join(states, "claim_id", "left")
-    out = out.na.fill(0, ["support_count", "refute_count"]).na.fill("", ["support_ids", "refute_ids"])
+    out = out.na.fill(0, ["support_count", "refute_count"]).na.fill("", ["support_ids", "refute_ids"] if ids else [])
     return out.withColumn("status", claim_status("support_count", "refute_count"))
 
 

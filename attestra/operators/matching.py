@@ -61,11 +61,18 @@ def hall_subsets(requirements: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def group_states(requirements: DataFrame, edges: DataFrame) -> DataFrame:
-    """group_id, r, matching_size, complete by Hall's theorem: r less the greatest deficiency, if above 0."""
-    worst = hall_subsets(requirements, edges).groupBy("group_id").agg(F.max("deficiency").alias("d"))
-    rows = group_sizes(requirements).join(worst, "group_id")
-    size = F.col("r") - F.greatest(F.lit(0), F.col("d"))
-    return rows.select("group_id", "r", size.alias("matching_size"), (F.col("d") <= 0).alias("complete"))
+    """group_id, r, matching_size, complete by Hall's theorem: r less the greatest deficiency of a subset, if above 0.
+
+    The greatest deficiency is found within the row of the group, over its masks with their numbers of hashes.
+    """
+    masks = hash_masks(edges).groupBy("group_id", "mask").agg(F.count(F.lit(1)).alias("n"))
+    masks = masks.groupBy("group_id").agg(F.collect_list(F.struct("mask", "n")).alias("masks"))  # at most 255 masks
+    rows = group_sizes(requirements).join(masks, "group_id", "left")
+    worst = F.expr(
+        "array_max(transform(sequence(1, shiftleft(1, r) - 1), s -> bit_count(s) - aggregate(filter(coalesce(masks, array()), x -> (x.mask & s) <> 0), 0L, (a, x) -> a + x.n)))"
+    )
+    rows = rows.withColumn("d", worst)
+    return rows.select("group_id", "r", (F.col("r") - F.greatest(F.lit(0), F.col("d"))).alias("matching_size"), (F.col("d") <= 0).alias("complete"))
 
 
 def assignment_sizes(requirements: DataFrame, edges: DataFrame) -> DataFrame:

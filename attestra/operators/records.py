@@ -49,6 +49,16 @@ def stratified_sample(rows: DataFrame, stratum: str, page: str, case: str, seed:
     return one.withColumn("place", place).filter(F.col("place") <= cases).drop("draw")
 
 
+def select_cases(rows: DataFrame, case: str, order: str, label: str, page: str, size: int, pattern: str, excluded: DataFrame, seed: str, most: int) -> DataFrame:
+    """case, page (its least), place of the first ``most`` cases in the order of their hash: cases of ``size`` rows whose labels, joined in
+    the order of ``order``, are LIKE ``pattern``, one of each page, none of an ``excluded`` page."""
+    built = rows.groupBy(case).agg(F.sort_array(F.collect_list(F.struct(order, label))).alias("x"), F.min(page).alias(page)).filter(F.size("x") == size)
+    good = built.filter(F.array_join(F.transform("x", lambda r: r[label]), "").like(pattern)).select(case, page).join(excluded.select(page), page, "left_anti")
+    one = first_per(good.withColumn("draw", sample_draw(seed, page, case)), [page], ["draw", case])
+    first = one.orderBy("draw", case).limit(most)  # few rows, so numbering them in one task is bounded
+    return first.select(case, page, F.row_number().over(Window.orderBy("draw", case)).alias("place"))
+
+
 def group_bounded_sample(rows: DataFrame, group: str, seed: str, most: int) -> DataFrame:
     """Whole groups in the order of their hash while their rows together stay within ``most``.
 

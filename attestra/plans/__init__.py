@@ -1,6 +1,6 @@
 """Queries of the engine."""
 
-from . import admission, evaluation, groups, more, pipeline, transitions, views
+from . import admission, evaluation, groups, more, patching, pipeline, transitions, views
 from .registry import QUERIES, SQL, Query
 
 

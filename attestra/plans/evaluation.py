@@ -319,15 +319,6 @@ def seed_mean_sd(spark: Spark, folder: str) -> Rows:
     return rows.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))
 
 
-@query(
-    """WITH m AS (SELECT user_id % 7 AS seed, avg(value) a, count(*) n FROM events GROUP BY 1)
-SELECT seed, CASE WHEN n < 100 THEN 'inconclusive' WHEN a >= 50 AND n >= 100 THEN 'go' ELSE 'no_go' END AS verdict FROM m"""
-)
-def stop_go(spark: Spark, folder: str) -> Rows:
-    rows = table(spark, folder, "events").groupBy((F.col("user_id") % 7).alias("seed")).agg(F.avg("value").alias("a"), F.count(F.lit(1)).alias("n"))
-    return rows.select("seed", F.when(F.col("n") < 100, "inconclusive").when((F.col("a") >= 50) & (F.col("n") >= 100), "go").otherwise("no_go").alias("verdict"))
-
-
 # baselines: which claims a withdrawal invalidates, against those whose status changes
 
 _CHANGED = "ch AS (SELECT a.claim_id FROM st0 a JOIN stw b USING (claim_id) WHERE a.status <> b.status)"

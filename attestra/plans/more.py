@@ -93,22 +93,6 @@ def neutral_pick(spark: Spark, folder: str) -> Rows:
     return rows.groupBy("document_id").agg(F.min(F.struct("draw", "chunk_id")).alias("x")).select("document_id", "x.chunk_id")
 
 
-@query(
-    with_parts(
-        "fx_claim dec0",
-        f"""au AS (SELECT * FROM dec0 WHERE document_id = '{WITHDRAWN}'), su AS (SELECT DISTINCT claim_id, label, true AS known FROM dec0 WHERE document_id <> '{WITHDRAWN}')
-SELECT claim_id, count(DISTINCT text_hash) AS audited_hashes, bool_or(known IS NOT NULL) AS already FROM au LEFT JOIN su USING (claim_id, label) WHERE label <> 'neutral' GROUP BY claim_id""",
-    )
-)
-def exhaustive_additive_delta(spark: Spark, folder: str) -> Rows:
-    """What an exhaustive audit of one document adds to the surviving judgments, claim by claim."""
-    rows = X.decisions(spark, folder, P0).filter("label <> 'neutral'").select("claim_id", "label", "text_hash", "document_id")
-    audited, surviving = rows.filter(F.col("document_id") == WITHDRAWN), rows.filter(F.col("document_id") != WITHDRAWN)
-    known = surviving.select("claim_id", "label").distinct().withColumn("known", F.lit(True))
-    joined = audited.join(known, ["claim_id", "label"], "left").groupBy("claim_id")
-    return joined.agg(F.count_distinct("text_hash").alias("audited_hashes"), F.bool_or(F.col("known").isNotNull()).alias("already"))
-
-
 @query("SELECT 'hits_only' AS side, chunk_version_id AS k FROM (SELECT chunk_version_id FROM impact_channel_hit EXCEPT SELECT chunk_version_id FROM staged_embedding) UNION ALL SELECT 'staged_only', chunk_version_id FROM (SELECT chunk_version_id FROM staged_embedding EXCEPT SELECT chunk_version_id FROM impact_channel_hit)")
 def key_set_diff(spark: Spark, folder: str) -> Rows:
     a, b = (table(spark, folder, t).select(F.col("chunk_version_id").alias("k")).distinct() for t in ("impact_channel_hit", "staged_embedding"))

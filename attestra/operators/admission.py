@@ -11,65 +11,70 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lexemes
 
-#: Parameter: queries of one block, the most that are sent to the tasks at once.
+#: Parameter: queries that are sent to the tasks at most; more are searched by blocks of this many rows of either side.
 QUERY_BLOCK = 4096
 
 
-def _blocks(queries: DataFrame, key: str, vector: str, block: int) -> Iterator[tuple[list, np.ndarray]]:
-    """The queries in blocks of about ``block`` rows, chosen by a hash of their key, as keys and unit rows."""
-    rows = queries.select(F.col(key).alias("k"), F.col(vector).alias("v")).dropna()
-    n = rows.count()
-    slices = max(1, -(-n // block))
-    for i in range(slices):
-        part = rows.filter(F.pmod(F.xxhash64("k"), F.lit(slices)) == i).toArrow()
-        if part.num_rows:
-            yield part["k"].to_pylist(), _units(np.array(part["v"].to_pylist(), np.float64))
-
-
 def _units(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _search(keys: list, vectors: np.ndarray, k: int | None, name: str, kind: pa.DataType, other: pa.DataType, floor: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            items = _units(np.array(batch["v"].to_pylist(), np.float64))
-            names = np.array(batch["k"].to_pylist(), dtype=object)
-            s = np.clip(vectors @ items.T, -1.0, 1.0)
-            s = np.round(s, 12)
-            if k is None:
-                row, col = np.nonzero(s >= floor)
-            else:
-                by_name = np.argsort(names, kind="stable")
-                order = by_name[np.argsort(-s[:, by_name], axis=1, kind="stable")[:, :k]]
-                row, col = np.repeat(np.arange(len(keys)), order.shape[1]), order.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in row], kind), pa.array(names[col].tolist(), other), pa.array(s[row, col], pa.float64())], [name, "item", "similarity"])
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of a column of vectors of one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _units(values.reshape(len(column), -1))
 
-    return run
 
+def _best(query_keys: pa.Array, queries: np.ndarray, item_keys: pa.Array, items: np.ndarray, k: int | None, floor: float, names: list[str]) -> pa.Table:
+    """The k items of greatest cosine of each query, ties by the smaller item; all of at least ``floor`` without k."""
+    s = np.round(np.clip(queries @ items.T, -1.0, 1.0), 12)
+    if k is None:
+        row, col = np.nonzero(s >= floor)
+    else:
+        by_name = np.argsort(np.array(item_keys.to_pylist(), dtype=object), kind="stable")
+        order = by_name[np.argsort(-s[:, by_name], axis=1, kind="stable")[:, :k]]
+        row, col = np.repeat(np.arange(len(queries)), order.shape[1]), order.ravel()
+    return pa.table([query_keys.take(pa.array(row)), item_keys.take(pa.array(col)), pa.array(s[row, col], pa.float64())], names)
 
-def _against_all(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str, k: int | None, block: int, floor: float = -1.0) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_type
 
+def _against_all(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str, k: int | None, block: int, floor: float = -1.0) -> DataFrame:
+    """Each query against every item: up to ``block`` queries are sent to the tasks that scan the items; more of them, and the items, are
+    dealt to blocks by a hash of their key, and each pair of blocks is one task's group. No side passes the driver beyond the bound."""
     rows = items.select(F.col(item_key).alias("k"), F.col(vector).alias("v")).dropna()
-    kinds = [df.schema[c].dataType for df, c in ((queries, query_key), (items, item_key))]
-    schema = f"`{query_key}` {kinds[0].simpleString()}, item {kinds[1].simpleString()}, similarity double"
-    found = None
-    for keys, vectors in _blocks(queries, query_key, vector, block):
-        run = _search(keys, vectors, k, query_key, *[to_arrow_type(t) for t in kinds], floor)
-        part = rows.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else items.sparkSession.createDataFrame([], schema)
+    wanted = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("w")).dropna()
+    schema = f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, item {items.schema[item_key].dataType.simpleString()}, similarity double"
+    names = [query_key, "item", "similarity"]
+    few = wanted.limit(block + 1).toArrow()
+    if not few.num_rows:
+        return items.sparkSession.createDataFrame([], schema)
+    if few.num_rows <= block:
+        keys, vectors = few["q"].combine_chunks(), _matrix(few["w"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from _best(keys, vectors, batch["k"], _matrix(batch["v"]), k, floor, names).to_batches()
+
+        return rows.mapInArrow(run, schema)
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _best(left["q"].combine_chunks(), np.zeros((0, 1)), right["k"].combine_chunks(), np.zeros((0, 1)), None, 2.0, names)
+        return _best(left["q"].combine_chunks(), _matrix(left["w"]), right["k"].combine_chunks(), _matrix(right["v"]), k, floor, names)
+
+    sizes = [max(1, -(-n // block)) for n in (wanted.count(), rows.count())]
+    left = wanted.withColumn("bq", F.pmod(F.xxhash64("q"), F.lit(sizes[0]))).withColumn("bi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(sizes[1] - 1).cast("bigint"))))
+    right = rows.withColumn("bi", F.pmod(F.xxhash64("k"), F.lit(sizes[1]))).withColumn("bq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(sizes[0] - 1).cast("bigint"))))
+    return left.groupBy("bq", "bi").cogroup(right.groupBy("bq", "bi")).applyInArrow(one, schema)
 
 
 def exact_top_k(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """query key, item, rank (1..k), similarity: the k items of greatest cosine of every query, ties by the smaller item.
 
-    Exact: every block of queries meets every item once in a matrix product, and each task keeps its own k best, so the
-    shuffle carries k rows for each query and batch. Null keys and vectors take no part.
+    Exact: every query meets every item once in a matrix product, and each task keeps its own k best, so the last shuffle
+    carries k rows for each query and block. Null keys and vectors take no part.
     """
     found = _against_all(queries, items, query_key, item_key, vector, k, block)
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.col("similarity").desc(), "item"))

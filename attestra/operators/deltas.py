@@ -60,12 +60,12 @@ def crossings(state: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 def apply_crossings(states: DataFrame, crossed: DataFrame) -> DataFrame:
-    """States with counts and status moved by the crossings; claims without one keep their row."""
+    """claim_id, support_count, refute_count and status moved by the crossings; claims without one keep their row. Best scores and listed
+    ids don't follow from crossings, so they are not given."""
     moved = crossed.groupBy("claim_id").agg(*[F.sum(F.when(F.col("label") == x, F.col("crossing"))).alias(f"__{x}") for x in ("support", "refute")])
-    rows = states.join(moved, "claim_id", "left").na.fill(0, ["__support", "__refute"])
-    for x in ("support", "refute"):
-        rows = rows.withColumn(f"{x}_count", F.col(f"{x}_count") + F.col(f"__{x}"))
-    return rows.withColumn("status", claim_status("support_count", "refute_count")).drop("__support", "__refute")
+    rows = states.select("claim_id", "support_count", "refute_count").join(moved, "claim_id", "left").na.fill(0, ["__support", "__refute"])
+    counts = [(F.col(f"{x}_count") + F.col(f"__{x}")).alias(f"{x}_count") for x in ("support", "refute")]
+    return rows.select("claim_id", *counts).withColumn("status", claim_status("support_count", "refute_count"))
 
 
 def override_counters(changes: DataFrame, key: str, delta: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.policy import decide
+from ..session import materialize
 from ..sources.store import Store
 from . import claims as C
 from . import deltas as D
@@ -20,7 +21,8 @@ _KEY, _ORDER = ["claim_id", "chunk_id"], ["seq", "observation_id"]
 class Engine:
     """Claim and answer states under events, each batch of which becomes one version of the store.
 
-    Tables: chunk (with validity), currency (latest observation of each claim and chunk), policy (one row), state, answer and delta
+    A version writes the changed rows of chunk, currency, state and answer only. Chunk ids are never used again; an insert of a known one
+    replaces it. Tables: chunk (with validity), currency (latest observation of each claim and chunk), policy (one row), state, answer and delta
     (status changes of the version). An applied version is not applied again. Observations on chunks that are not valid are
     stored and count as soon as such a chunk is inserted, not before.
     """
@@ -58,30 +60,33 @@ class Engine:
         observed = self.spark.createDataFrame([], OBSERVATIONS) if observed is None else observed
         policy = policy or old_policy
 
-        closing = old_chunks.filter("valid_to is null").join(gone.distinct(), "document_id", "left_semi").select("chunk_id")
-        closed = closing.withColumn("closed_at", F.lit(version).cast("bigint"))
-        chunks = old_chunks.join(closed, "chunk_id", "left")
-        chunks = chunks.withColumn("valid_to", F.coalesce("valid_to", "closed_at")).drop("closed_at")
+        closing = old_chunks.filter("valid_to is null").join(gone.distinct(), "document_id", "left_semi")
+        closed = closing.withColumn("valid_to", F.lit(version).cast("bigint"))
         fresh = inserted.withColumn("valid_from", F.lit(version).cast("bigint")).withColumn("valid_to", F.lit(None).cast("bigint"))
-        chunks = chunks.unionByName(fresh)
-        currency = T.latest(old_currency.unionByName(observed), _KEY, _ORDER)
-
-        touched = closing.unionByName(inserted.select("chunk_id"))
-        dirty = observed.select("claim_id").unionByName(currency.join(touched.distinct(), "chunk_id", "left_semi").select("claim_id"))
+        changed_chunks = closed.unionByName(fresh)
+        chunks = T.overlay(old_chunks, changed_chunks, ["chunk_id"], F.lit(False))
+        same_keys = old_currency.join(observed.select(*_KEY).distinct(), _KEY, "left_semi")
+        changed_currency = T.latest(same_keys.unionByName(observed.select(*old_currency.columns)), _KEY, _ORDER)
+        currency = T.overlay(old_currency, changed_currency, _KEY, F.lit(False))
+
+        touched = changed_chunks.select("chunk_id").distinct()
+        dirty = observed.select("claim_id").unionByName(currency.join(touched, "chunk_id", "left_semi").select("claim_id"))
         if policy != old_policy:
             dirty = dirty.unionByName(D.flips_by_partition(self._rows(chunks, currency), old_policy, policy).select("claim_id"))
-        dirty = dirty.distinct()
+        dirty = materialize(dirty.distinct())
 
         claims = self.claims.join(dirty, "claim_id", "left_semi")
-        again = self._states(self._rows(chunks, currency).join(dirty, "claim_id", "left_semi"), policy, claims)["state"]
-        states = T.overlay(old_states, again, ["claim_id"], F.lit(False))
-        moved = C.status_deltas(old_states.join(dirty, "claim_id", "left_semi"), again, "claim_id", "claim")
+        again = materialize(self._states(self._rows(chunks, currency.join(dirty, "claim_id", "left_semi")), policy, claims)["state"])
+        before = old_states.join(dirty, "claim_id", "left_semi")
+        moved = C.status_deltas(before, again, "claim_id", "claim")
         # an answer is touched only if the status of a required claim of it has changed
         changed = moved.select(F.col("object_id").alias("claim_id")).join(self.claims.filter("required"), "claim_id").select("answer_id").distinct()
-        answers = T.overlay(old_answers, C.answer_states(states.join(changed, "answer_id", "left_semi")), ["answer_id"], F.lit(False))
-        deltas = moved.unionByName(C.status_deltas(old_answers, answers, "answer_id", "answer"))
-        tables = {"chunk": chunks, "currency": currency, "state": states, "answer": answers, "delta": deltas}
-        return self.store.publish(version, tables | {"policy": self.spark.createDataFrame([policy], POLICY)})
+        states = T.overlay(old_states.join(changed, "answer_id", "left_semi"), again.join(changed, "answer_id", "left_semi"), ["claim_id"], F.lit(False))
+        answers = C.answer_states(states)
+        deltas = moved.unionByName(C.status_deltas(old_answers.join(changed, "answer_id", "left_semi"), answers, "answer_id", "answer"))
+        whole = {"delta": deltas} | ({} if policy == old_policy else {"policy": self.spark.createDataFrame([policy], POLICY)})
+        changes = {"chunk": (changed_chunks, ["chunk_id"]), "currency": (changed_currency, _KEY), "state": (again, ["claim_id"]), "answer": (answers, ["answer_id"])}
+        return self.store.publish(version, whole, changes=changes)
 
     def mismatches(self) -> int:
         """Rows in which the maintained tables differ from a full recompute."""

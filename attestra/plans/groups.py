@@ -138,7 +138,7 @@ def hash_mask_transitions(spark: Spark, folder: str) -> Rows:
 
 
 def _combined(spark: Spark, folder: str) -> Rows:
-    states = C.claim_states(X.claims(spark, folder), X.decisions(spark, folder, P0))
+    states = C.claim_states(X.claims(spark, folder), X.decisions(spark, folder, P0), ids=False)
     complete = M.group_states(X.requirements(spark, folder), X.edges(spark, folder)).filter("complete")
     return M.combined_claims(states, complete.select(F.col("group_id").alias("claim_id"), "group_id"))
 

@@ -321,9 +321,10 @@ def status_deltas_delete(spark: Spark, folder: str) -> Rows:
 def incremental_policy_change(spark: Spark, folder: str) -> Rows:
     """State after a policy change from the old state and signed deltas: only touched keys are computed anew."""
     rows = X.active_current(spark, folder)
-    old = C.claim_states(X.claims(spark, folder), X.labelled(rows, P0))
-    crossed = D.crossings(D.contributions(X.labelled(rows, P0)), D.signed_deltas(D.flips_by_partition(rows, P0, P1)))
-    return D.apply_crossings(old, crossed).select("claim_id", "support_count", "refute_count", "status")
+    old = C.claim_states(X.claims(spark, folder), X.labelled(rows, P0), ids=False)
+    flips = D.flips_by_partition(rows, P0, P1)
+    held = X.labelled(rows, P0).join(flips.select("claim_id", "text_hash").distinct(), ["claim_id", "text_hash"], "left_semi")
+    return D.apply_crossings(old, D.crossings(D.contributions(held), D.signed_deltas(flips)))
 
 
 @query(with_parts("st0 stw", f"SELECT count(*) AS claims, count(*) FILTER (a.status <> b.status) AS changed, CAST(0 AS BIGINT) AS wrong FROM st0 a JOIN stw b USING (claim_id)"))

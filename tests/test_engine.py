@@ -29,7 +29,24 @@ def test_maintained_states_equal_a_full_recompute(spark, tmp_path):
         assert engine.apply(version, **arguments)
         assert not engine.apply(version, **arguments)
         assert engine.mismatches() == 0
-    assert engine.store.read("delta").count() >= 0 and engine.store.head() == 3
+    assert engine.store.head() == 3
+    moved = [(r["old_status"], r["new_status"]) for r in engine.store.read("delta").collect()]
+    assert all(a != b for a, b in moved)
+
+
+def test_changes_are_laid_over_and_written_whole_in_the_end(spark, tmp_path, monkeypatch):
+    from attestra.sources import store as S
+
+    monkeypatch.setattr(S, "MOST_CHANGES", 2)
+    store, want = Store(spark, str(tmp_path / "s")), {i: "old" for i in range(6)}
+    store.publish(0, {"t": spark.createDataFrame(list(want.items()), "k int, v string"), "u": spark.range(3)})
+    for version in range(1, 6):
+        rows = {version % 6: f"v{version}", 10 + version: "new"}
+        want |= rows
+        assert store.publish(version, {}, changes={"t": (spark.createDataFrame(list(rows.items()), "k int, v string"), ["k"])})
+        assert {r["k"]: r["v"] for r in store.read("t").collect()} == want
+    assert not store.publish(3, {}) and store.read("u").count() == 3
+    assert store.read("t", 0).count() == 6
 
 
 def test_a_replay_changes_nothing_and_an_empty_batch_is_fine(spark, tmp_path):

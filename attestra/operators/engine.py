@@ -66,7 +66,7 @@ class Engine:
         changed_chunks = closed.unionByName(fresh)
         chunks = T.overlay(old_chunks, changed_chunks, ["chunk_id"], F.lit(False))
         same_keys = old_currency.join(observed.select(*_KEY).distinct(), _KEY, "left_semi")
-        changed_currency = T.latest(same_keys.unionByName(observed.select(*old_currency.columns)), _KEY, _ORDER)
+        changed_currency = materialize(T.latest(same_keys.unionByName(observed.select(*old_currency.columns)), _KEY, _ORDER))
         currency = T.overlay(old_currency, changed_currency, _KEY, F.lit(False))
 
         touched = changed_chunks.select("chunk_id").distinct()

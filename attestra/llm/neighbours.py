@@ -9,6 +9,10 @@ the leaves found for a vector is merged, so a pair is found if either side finds
 Equal vectors and equal directions are kept once in a block and in a leaf, with the few identifiers that can be among the
 k most similar, so copies of one vector, however many, cost a leaf one row of its matrix.
 
+Each level of a tree parts some close pairs, so the deeper the trees are the more of them the leaves miss. Where a forest has more than
+one leaf the lists are therefore completed: vectors that are linked by their lists, over a few steps, form a group, and each group is
+compared with itself. So a pair parted by every tree is found through the neighbours that both sides share.
+
 The sample grows with the number of leaves up to a bound. A leaf that still has many more rows than planned is not compared
 with itself as a whole: its task fits a forest of its own on a bounded sample of the leaf and searches that in the same way.
 """
@@ -21,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from .forest import Forest
 
 #: Parameters of the index: rows of the fitting sample for each model, rows a leaf holds at most on average, trees,
@@ -34,6 +38,9 @@ SAMPLE_ROWS, LEAF_ROWS, TREES, PROBES, BROADCAST_KEYS = 16384, 4096, 2, 1, 1 <<
 SAMPLE_PER_LEAF, MOST_SAMPLE_ROWS, SPLIT_FROM = 16, 1 << 18, 4
 #: Rows of a leaf where neighbours of any similarity are wanted: far ones are parted by a tree more often than close ones.
 FAR_LEAF_ROWS = 8192
+#: Completion: least cosine of a link, rounds in which the label of a group is passed on, vectors of a group from which it is cut into
+#: parts, vectors compared in one call on average.
+LINK_SIMILARITY, LINK_ROUNDS, GROUP_ROWS, CALL_ROWS = 0.7, 3, 16384, 4096
 
 
 def current_vectors(df: DataFrame, key: str, model: str, vector: str, time: str) -> DataFrame:
@@ -265,6 +272,63 @@ def _search_leaf(names: list[str], k: int, least_similarity: float, leaf_rows: i
     return search
 
 
+def _links(merged: DataFrame) -> DataFrame:
+    """vid, kid: hashes of each vector and of every close key in its list, where the list holds more than one."""
+    close = merged.select("model", F.xxhash64("model", "h").alias("vid"), F.filter("near", lambda x: x["d"] <= -LINK_SIMILARITY).alias("near"))
+    return close.filter(F.size("near") > 1).select("vid", F.explode(F.transform("near", lambda x: F.xxhash64(F.col("model"), x["key"]))).alias("kid"))
+
+
+def linked_groups(links: DataFrame, rounds: int = LINK_ROUNDS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """vid, group: vectors that reach the same least key within ``rounds`` steps over the links, in groups of two or more. What
+    has more than ``group_rows`` vectors is dealt to parts by hash, so no group is larger than a task can hold."""
+    labels = links.groupBy("vid").agg(F.min("kid").alias("label"))
+    for _ in range(rounds):
+        keys = links.join(labels, "vid").groupBy("kid").agg(F.min("label").alias("label"))
+        labels = links.join(keys, "kid").groupBy("vid").agg(F.min("label").alias("label"))
+    labels = materialize(labels)
+    parts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label", F.ceil(F.col("n") / group_rows).alias("parts"))
+    return labels.join(parts, "label").select("vid", F.xxhash64("label", F.pmod(F.xxhash64("vid"), F.col("parts"))).alias("group"))
+
+
+def _halved(dimension: int):
+    """Usable vectors as bytes, in half precision where that is exact."""
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = _matrix(batch["vector"], dimension)
+            with np.errstate(over="ignore"):
+                half = x.astype(np.float16)
+            exact = (half.astype(np.float32) == x).all(1).tolist()
+            data = [(half if e else x)[i].tobytes() for i, e in enumerate(exact)]
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch["id64"].take(rows), batch["h"].take(rows), pa.array(data, pa.binary())], ["id64", "h", "data"])
+
+    return halve
+
+
+def _search_groups(dimension: int, k: int, least_similarity: float, leaf_rows: int, trees: int, probes: int):
+    def search(key: tuple, table: pa.Table) -> pa.Table:
+        group, h = table["group"].to_numpy(), table["h"].to_numpy()
+        order = np.lexsort((h, group))
+        order = order[np.r_[True, (np.diff(group[order]) != 0) | (np.diff(h[order]) != 0)]]  # repeated rows once
+        data, keys, models = table["data"], table["keys"], table["model"]
+        out_model, out_h, out_near = [], [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            raw = [data[int(i)].as_py() for i in rows]
+            x = _unit(np.array([np.frombuffer(b, np.float16 if len(b) == 2 * dimension else np.float32) for b in raw], np.float32))
+            items = [keys[int(i)].as_py() for i in rows]
+            if len(x) > SPLIT_FROM * leaf_rows:
+                near = split_neighbours(x, items, k, least_similarity, leaf_rows, trees, probes)
+            else:
+                near = list(leaf_neighbours(x, items, k, least_similarity))
+            out_model += [models[int(rows[0])].as_py()] * len(rows)
+            out_h += h[rows].tolist()
+            out_near += [[{"d": d, "key": name} for d, name in v] for v in near]
+        return pa.Table.from_arrays([pa.array(out_model, pa.string()), pa.array(out_h, pa.int64()), pa.array(out_near, _FOUND.field("near").type)], schema=_FOUND)
+
+    return search
+
+
 def most_similar(
     df: DataFrame, key: str, model: str, vector: str, time: str, k: int, dimension: int, least_similarity: float = -1.0,
     sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, trees: int = TREES, probes: int = PROBES, broadcast_keys: int = BROADCAST_KEYS,
@@ -274,8 +338,8 @@ def most_similar(
     Of several rows of one (model, key) the one with the latest ``time`` counts (null is earliest). A vector is usable if it
     has ``dimension`` finite entries that are not all zero; other vectors, null keys and null models take no part.
     Similarity is the cosine, at least ``least_similarity``; equal ones are decided by the smaller key. Fewer than k
-    rows come out where there are no more such vectors. The search is approximate: the forest may miss a neighbour, but
-    what it gives is exact. Empty tables give an empty result; extra columns are ignored.
+    rows come out where there are no more such vectors. The search is approximate: forest and groups may miss a neighbour, but
+    what they give is exact. Empty tables give an empty result; extra columns are ignored.
     """
     spark = df.sparkSession
     rows = df.select(F.col(model).cast("string").alias("model"), F.col(key).cast("string").alias("key"), F.col(vector).alias("vector"), F.col(time).alias("time"))
@@ -304,9 +368,27 @@ def most_similar(
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _route(index.value[0], probes, dimension, least, *index.value[1:])(batches)
 
-    blocks = routed.mapInArrow(route, "leaf bigint, block binary")
-    found = blocks.groupBy("leaf").applyInArrow(_search_leaf(sorted(forests), least, least_similarity, leaf_rows, trees, probes), near_type)
-    merged = found.groupBy("model", "h").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
+    def searched() -> DataFrame:
+        blocks = routed.mapInArrow(route, "leaf bigint, block binary")
+        return blocks.groupBy("leaf").applyInArrow(_search_leaf(sorted(forests), least, least_similarity, leaf_rows, trees, probes), near_type)
+
+    def joined(found: DataFrame) -> DataFrame:
+        return found.groupBy("model", "h").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
+
+    if all(forest.n_leaves <= trees for forest in forests.values()):  # one leaf: nothing was parted
+        merged = joined(searched())
+    else:
+        first = materialize(joined(searched()).withColumn("near", F.slice(F.array_distinct("near"), 1, least)))
+        release(spark)  # the blocks of the leaves
+        groups = linked_groups(materialize(_links(first)))
+        named = current.withColumn("n", F.row_number().over(Window.partitionBy("model", "h").orderBy("key"))).filter(F.col("n") <= least)
+        named = named.groupBy("model", "h").agg(F.sort_array(F.collect_list("key")).alias("keys")).withColumn("vid", F.xxhash64("model", "h"))
+        members = named.join(groups, "vid").select(F.xxhash64("model", F.col("keys")[0]).alias("id64"), "h", "model", "keys", "group")
+        packed = routed.select("id64", "h", "vector").mapInArrow(_halved(dimension), "id64 bigint, h bigint, data binary")
+        calls = max(1, sum(counts.values()) // CALL_ROWS)
+        rows_of = packed.join(members, ["id64", "h"]).withColumn("call", F.pmod(F.xxhash64("group"), F.lit(calls)))
+        more = rows_of.groupBy("call").applyInArrow(_search_groups(dimension, least, least_similarity, leaf_rows, trees, probes), near_type)
+        merged = joined(first.unionByName(more))
     lists = current.select("model", "key", "h").join(merged, ["model", "h"])
     names = F.transform("near", lambda x: x["key"])
     others = F.filter("near", lambda x, i: (x["key"] != F.col("key")) & (F.array_position(names, x["key"]) == i + 1))

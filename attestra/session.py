@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,9 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Asks the driver to drop what no step refers to any more, so the shuffle files of finished steps leave the disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -117,3 +117,20 @@ def test_a_leaf_of_many_rows_is_split_again(spark, monkeypatch):
     monkeypatch.setattr(K, "SPLIT_FROM", 0)
     want, got = brute(rows, 3, 8, 0.7), run(spark, rows, leaf_rows=200)
     assert len(set(want) & set(got)) >= 0.9 * len(want)
+
+
+def test_pairs_that_deep_trees_part_are_found_through_common_neighbours(spark):
+    rows = clustered(3000, 150, 32)
+    pairs = lambda rows: {(m, min(a, b), max(a, b)) for m, a, _, b in rows}
+    want, got = pairs(brute(rows, 4, 32, 0.7)), pairs(run(spark, rows, 4, 32, leaf_rows=12, sample_rows=1500, trees=2, probes=1))
+    assert len(want & got) >= 0.99 * len(want)
+
+
+def test_groups_follow_links_and_large_ones_are_cut(spark):
+    links = spark.createDataFrame([(v, k) for v in range(10) for k in (v, min(v + 1, 9))] + [(20, 20), (20, 21), (21, 21), (21, 20), (30, 30), (30, 31)], "vid bigint, kid bigint")
+    groups = {}
+    for r in K.linked_groups(links, rounds=10).collect():
+        groups.setdefault(r["group"], set()).add(r["vid"])
+    assert sorted(map(sorted, groups.values())) == [list(range(10)), [20, 21]]
+    cut = K.linked_groups(links, rounds=10, group_rows=4).collect()
+    assert {r["vid"] for r in cut} == {*range(10), 20, 21} and len({r["group"] for r in cut}) > 2

@@ -238,9 +238,20 @@ def artifact_coverage(spark: Spark, folder: str) -> Rows:
     )
 )
 def lineage_pairs(spark: Spark, folder: str) -> Rows:
-    """Claims that cited a closed chunk, with the active chunks that carry on its text in the same document."""
+    """Claims that cited a closed chunk, with the active chunks that carry on its text in the same document.
+
+    An observation that is not current cites the same pair as the current one, so no latest is sought. A claim names each
+    (document, text) once and nearly every chunk belongs to one of these, so its pairs are distinct as they are joined and pass no shuffle;
+    only those of chunks with several rows of different document or text are made distinct.
+    """
     chunks = X.chunks(spark, folder)
-    closed = chunks.filter("not active").select("chunk_id", "document_id", "text")
-    fresh = chunks.filter("active").select("document_id", "text", F.col("chunk_id").alias("fresh"))
-    cited = X.current(spark, folder).select("claim_id", "chunk_id").join(closed, "chunk_id").select("claim_id", "document_id", "text").distinct()
-    return cited.join(fresh, ["document_id", "text"]).select("claim_id", F.col("fresh").alias("chunk_id")).distinct()
+    closed = chunks.filter("not active").select("chunk_id", "document_id", "text").distinct()
+    owned = chunks.filter("active and document_id is not null and text is not null").groupBy(F.col("chunk_id").alias("fresh"))
+    owned = owned.agg(F.collect_set(F.struct("document_id", "text")).alias("places")).select("fresh", F.explode("places").alias("place"), (F.size("places") > 1).alias("several"))
+    fresh = owned.select("place.*", "fresh", "several")
+    cited = X.observations(spark, folder).select("claim_id", "chunk_id").join(closed, "chunk_id").select("claim_id", "document_id", "text").distinct()
+
+    def pairs(several: bool) -> Rows:
+        return cited.join(fresh.filter(F.col("several") == several), ["document_id", "text"]).select("claim_id", F.col("fresh").alias("chunk_id"))
+
+    return pairs(False).unionByName(pairs(True).distinct())

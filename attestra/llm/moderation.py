@@ -8,8 +8,8 @@ token labels are found by alternation: in a toxic text the segment that looks mo
 trained, and the labels are taken anew from its marginals. Near-equal segments of the sample share the weight of
 the square root of their number, so a form that recurs does not outvote the rest.
 
-A path through a segment can only be toxic where some word of the segment may offend (a trigger: a class of ``OFFENDING``); other
-segments have score 0 and are not searched. Forward-backward marginals of a text give its offending spans, and one
+Every segment is scored, also those in which no word belongs to a class (a trigger: a class of ``OFFENDING``): what the field has learned of
+words alone decides there. Forward-backward marginals of a text give its offending spans, and one
 less the probability that no token of a segment is toxic gives the segment's score; a text has the score of its worst segment.
 """
 
@@ -37,7 +37,7 @@ SAMPLE_ROWS, REACH, PENALTY, CLASS_SHARE, THRESHOLD, MARKED, ALIKE = 20000, 8, 2
 
 #: Bits of the classes in a mask; MSK marks words with stars or digits for letters.
 BITS = {name: bit for bit, name in enumerate([*CLASSES, "MSK"])}
-#: Classes whose words may offend; a segment without any cannot.
+#: Classes whose words may offend.
 OFFENDING = ("INS", "PRO", "THR", "DEG", "SEX", "CON", "MSK")
 
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
@@ -174,8 +174,8 @@ class Lexicon:
         return [(p, self.classes(p)) for p in parts]
 
 
-def segments(text: str, lexicon: Lexicon) -> list[list[tuple[str, int, int, int]]]:
-    """Those segments of the text that hold a trigger, as (word, classes, start, end); cut at sentence ends and line breaks."""
+def segments(text: str, lexicon: Lexicon, every: bool = False) -> list[list[tuple[str, int, int, int]]]:
+    """Those segments of the text that hold a trigger, or all of them, as (word, classes, start, end); cut at sentence ends and line breaks."""
     origin = None
     if _INVISIBLE.search(text):
         keep = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
@@ -186,7 +186,7 @@ def segments(text: str, lexicon: Lexicon) -> list[list[tuple[str, int, int, int]
     triggers, canonical, kept = lexicon.triggers, lexicon.canonical, lexicon.cache.get
 
     def close() -> None:
-        if mask & triggers:
+        if current and (every or mask & triggers):
             places = [(w, *((origin[a], origin[b - 1] + 1) if origin else (a, b))) for w, a, b in current]
             out.append([(w, c, a, b) for words, a, b in places for w, c in words])
 
@@ -264,6 +264,75 @@ class Field:
 
     def __init__(self, weights: dict[str, float], chain: np.ndarray):
         self.weights, self.chain = weights, chain
+        self.before: dict[str, dict[str, float]] = {}  # of a word, what the word before it adds
+        self.after: dict[str, dict[str, float]] = {}
+        for f, x in weights.items():
+            if f[0] in "ba":
+                first, second = f[1:].split(" ")
+                if f[0] == "b":
+                    self.before.setdefault(second, {})[first] = x
+                else:
+                    self.after.setdefault(first, {})[second] = x
+        self.alone: dict[str, float] = {}
+        self.sums: dict[int | tuple[int, ...], float] = {}
+
+    def quick_emissions(self, segment: list[tuple[str, int, int, int]]) -> list[float]:
+        """``emissions`` from sums that are kept for words and for combinations of classes."""
+        words = [t[0] for t in segment]
+        out, classed = self._word_emissions(words), [(i, t[1]) for i, t in enumerate(segment) if t[1]]
+        if not classed:
+            return out
+        around, sums, get, n = [0] * len(words), self.sums, self.weights.get, len(words)
+        if len(sums) > 200_000:
+            sums.clear()
+        for i, m in classed:
+            for j in range(max(0, i - REACH), min(n, i + REACH + 1)):
+                around[j] |= m
+        for i, m in enumerate(around):
+            if m:
+                x = sums.get(m)
+                if x is None:
+                    x = sums[m] = sum(get(f, 0.0) for f in _window_features(m))
+                out[i] += x
+        for k, (i, m) in enumerate(classed):
+            before = classed[k - 1][1] if k and classed[k - 1][0] >= i - REACH else 0
+            after = classed[k + 1][1] if k + 1 < len(classed) and classed[k + 1][0] <= i + REACH else 0
+            key = m, around[i], before, after
+            x = sums.get(key)
+            if x is None:
+                x = sums[key] = sum(get(f, 0.0) for f in (*_own_features(m, around[i]), *_near_features(m, before, after)))
+            out[i] += x
+        return out
+
+    def _word_emissions(self, words: list[str]) -> list[float]:
+        if len(self.alone) > 200_000:
+            self.alone.clear()
+        alone, before, after = self.alone, self.before, self.after
+        bias, get, last, out = self.weights.get("1", 0.0), self.weights.get, len(words) - 1, []
+        for i, w in enumerate(words):
+            x = alone.get(w)
+            if x is None:
+                x = alone[w] = bias + get("w" + w, 0.0) + get("p" + w[:5], 0.0)
+            if w in before:
+                x += before[w].get(words[i - 1] if i else "^", 0.0)
+            if w in after:
+                x += after[w].get(words[i + 1] if i < last else "$", 0.0)
+            out.append(x)
+        return out
+
+    def probability(self, emissions: list[float]) -> float:
+        """Probability that some token is toxic."""
+        s, ct, tc, tt = (math.exp(x) for x in self.chain)
+        exp, log, first = math.exp, math.log, True
+        c, t, clean = 1.0, 0.0, 0.0
+        for x in emissions:
+            e = exp(x if x < 30.0 else 30.0)
+            c, t = (c, s * e) if first else (c + t * tc, (c * ct + t * tt) * e)
+            first = False
+            if c + t > 1e100:
+                clean -= log(c + t)
+                c, t = c / (c + t), t / (c + t)
+        return 1.0 - exp(min(0.0, clean - log(c + t)))
 
     def emissions(self, segment: list[tuple[str, int, int, int]]) -> list[float]:
         get = self.weights.get
@@ -389,15 +458,21 @@ def train_field(features: list[list[tuple[str, ...]]], labels: list[list[int]],
 
 
 class Tagger:
-    def __init__(self, lexicon: Lexicon, field: Field):
-        self.lexicon, self.field = lexicon, field
+    """``field`` scores segments with a trigger, ``rest`` (trained on every segment) those without."""
+
+    def __init__(self, lexicon: Lexicon, field: Field, rest: Field):
+        self.lexicon, self.field, self.rest = lexicon, field, rest
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int]]]:
         """(score, offending spans as code points): (0, []) for a null, empty or blank text."""
         best, spans = 0.0, []
-        for segment in segments(text, self.lexicon) if text else []:
-            probability, marginals = self.field.marginals(segment)
+        for segment in segments(text, self.lexicon, every=True) if text else []:
+            field = self.field if any(c & self.lexicon.triggers for _, c, *_ in segment) else self.rest
+            probability = field.probability(field.quick_emissions(segment))
             best = max(best, probability)
+            if probability < 0.5:  # no token can reach that
+                continue
+            _, marginals = field.marginals(segment)
             for (_, _, a, b), p in zip(segment, marginals):
                 if p >= 0.5:
                     if spans and spans[-1][2] is segment:
@@ -446,17 +521,25 @@ def train_tagger(texts: list[str], toxic: list[bool], rounds: int = 3, penalty:
         return math.log((words_of[True][w] + 0.5) / (n_toxic + 1)) - math.log((words_of[False][w] + 0.5) / (n_clean + 1))
 
     lexicon = Lexicon({w for w, n in words_of[True].items() if n >= 3 and len(w) >= 4 and odds(w) > 2})
-    parsed = [segments(text, lexicon) for text in texts]
+
+    def first_guess(segment: list[tuple[str, int, int, int]]) -> float:
+        values = sorted((odds(w) + (1.5 if c & lexicon.strong else 0.0) for w, c, *_ in segment), reverse=True)
+        return sum(values[:4])
+
+    fields = [_train(texts, toxic, marked, lexicon, every, first_guess, rounds, penalty, steps) for every in (False, True)]
+    lexicon.cache.clear()
+    return Tagger(lexicon, *fields)
+
+
+def _train(texts, toxic, marked, lexicon, every, first_guess, rounds, penalty, steps) -> Field:
+    """The field of the segments with a trigger, or of every segment."""
+    parsed = [segments(text, lexicon, every) for text in texts]
     heads = near_equal_groups([s for p in parsed for s in p])
     sizes = Counter(heads)
     share = iter([sizes[h] ** -0.5 for h in heads])
     shares = [[next(share) for _ in p] for p in parsed]
     features = [[token_features(s) for s in p] for p in parsed]
-    fixed = [(token_features(s), [int(span is not None and a < span[1] and b > span[0]) for *_, a, b in s]) for text, span in marked for s in segments(text, lexicon)]
-
-    def first_guess(segment: list[tuple[str, int, int, int]]) -> float:
-        values = sorted((odds(w) + (1.5 if c & lexicon.strong else 0.0) for w, c, *_ in segment), reverse=True)
-        return sum(values[:4])
+    fixed = [(token_features(s), [int(span is not None and a < span[1] and b > span[0]) for *_, a, b in s]) for text, span in marked for s in segments(text, lexicon, every)]
 
     labels = []
     for p, bad in zip(parsed, toxic):
@@ -476,8 +559,7 @@ def train_tagger(texts: list[str], toxic: list[bool], rounds: int = 3, penalty:
             if bad:
                 labels[k] = [[int(m >= 0.5 or (i == worst and max(ms) < 0.5)) for m in ms] for i, (_, ms) in enumerate(scored)]
             skip[k] = bool(p) and (scored[worst][0] > 0.97 if not bad else scored[worst][0] < 0.2)  # wrongly labelled, most likely
-    lexicon.cache.clear()
-    return Tagger(lexicon, field)
+    return field
 
 
 def fit(sample: DataFrame, text: str, category: str, clean: str = "none", sample_rows: int = SAMPLE_ROWS) -> Tagger:

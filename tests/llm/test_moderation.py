@@ -126,3 +126,19 @@ def test_rows(spark, tagger):
     got = sorted(((r["doc_id"] or 0), r["score"] >= K.THRESHOLD, bool(r["spans"])) for r in K.score_texts(df, "doc_id", "text", tagger, keep=("source",)).collect())
     assert got == [(0, False, False), (1, False, False), (2, False, False), (3, False, False), (4, True, True), (4, True, True), (5, True, True)]
     assert K.score_texts(df.filter("doc_id = 77"), "doc_id", "text", tagger).count() == 0
+
+
+def test_segments_without_an_offending_word_are_scored_too():
+    """Words that only the sample shows to be toxic belong to no class."""
+    texts = [f"{a} {b} flumox grendle {c}" for a in ("one", "two", "six") for b in ("is", "was") for c in ("today", "here", "now")]
+    clean = [f"{a} {b} garden table {c}" for a in ("one", "two", "six") for b in ("is", "was") for c in ("today", "here", "now")]
+    tagger = K.train_tagger((texts + clean) * 3, ([True] * len(texts) + [False] * len(clean)) * 3)
+    assert K.segments("five is flumox grendle then", tagger.lexicon) == []
+    assert tagger.score("five is flumox grendle then")[0] >= K.THRESHOLD > tagger.score("five is garden table then")[0]
+
+
+def test_quick_scores_are_those_of_the_features(tagger, examples):
+    for text in [*examples[0][:150], "word " * 30 + "you idiot " + "word " * 400]:
+        for segment in K.segments(text, tagger.lexicon, every=True):
+            assert tagger.field.quick_emissions(segment) == pytest.approx(tagger.field.emissions(segment), abs=1e-9)
+            assert tagger.field.probability(tagger.field.emissions(segment)) == pytest.approx(tagger.field.marginals(segment)[0], abs=1e-9)
